@@ -103,9 +103,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 8)
         for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            steps = np.full(n, U64(base))
+            steps = np.full(max(n, CHUNK_BYTES + 8), U64(base))
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import jaccard_join, packing
 
 _QUERIES = {
     "op2_packing": packing.query,
+    "op8_jaccard_join": jaccard_join.query,
 }
 
 _SQL: dict[str, str] = {}
