@@ -66,6 +66,14 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def join_few(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Inner join with a staged side that has one row a key. Where its keys are counted to be few, rows of ``df`` that they don't name leave before the shuffle."""
+    keys = side.select(key)
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        df = df.join(F.broadcast(keys), key, "left_semi")
+    return df.join(side, key)
+
+
 # ---- text in Arrow batches ------------------------------------------------
 
 
