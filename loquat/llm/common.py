@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,8 +136,11 @@ def byte_classes(breaks: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return is_break, values
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, is_break: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between separators, never across documents: (hashes, start bytes, end bytes, first word of each document + end)."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, is_break: np.ndarray, values: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between separators, never across documents: (hashes, start bytes, end bytes, first word of each document + end).
+
+    With ``kinds`` (a number for each byte) a word also ends where the kind changes.
+    """
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
@@ -144,6 +148,9 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, is_break: np.ndarray, values:
     inside = ~is_break[raw]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
+    if kinds is not None:
+        kind = kinds[raw]
+        edge[1:n] |= kind[1:] != kind[:-1]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | edge[1:n]
     ends = inside.copy()
@@ -195,5 +202,30 @@ def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def pack_blocks(values: np.ndarray, blocks: int) -> tuple[pa.Array, pa.Array]:
+    """(block, zipped sums) of the blocks of a task's sums that aren't all zero."""
+    parts = values.reshape(blocks, -1)
+    used = np.flatnonzero(parts.any(1))
+    return pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].astype("<i8").tobytes(), 1) for k in used], pa.binary())
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for rows in batches:
+        for k, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            more = np.frombuffer(zlib.decompress(blob.as_buffer()), "<i8")
+            sums[k] = sums[k] + more if k in sums else more
+    if sums:
+        yield batch(block=pa.array(list(sums), pa.int32()), sums=pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary()))
+
+
+def add_blocks(df: DataFrame, blocks: int, size: int) -> np.ndarray:
+    """The tasks' sums (block, sums) added up by the executors, a batch at a time; ``size`` numbers come to the driver, whatever the input."""
+    out = np.zeros((blocks, size // blocks), np.int64)
+    for r in df.repartition(blocks, "block").mapInArrow(_add_blocks, "block int, sums binary").collect():
+        out[r.block] += np.frombuffer(zlib.decompress(r.sums), "<i8")
+    return out.ravel()
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -24,7 +24,6 @@ texts are equal, and the smallest id of the component is theirs anyway; an empty
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Stage, as_long, batch, bounded, byte_classes, chunks, mix, shingle_sets, table, word_hashes
+from .common import U64, Stage, add_blocks, as_long, batch, bounded, byte_classes, chunks, mix, pack_blocks, shingle_sets, table, word_hashes
 from .graph import connected_components
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -69,22 +68,9 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             sketch = np.bincount(part, minlength=(hi - lo) * PARTS).astype("<u4").reshape(-1, PARTS)
             m = hi - lo
             yield batch(doc_id=ids.slice(lo, m), n=pa.array(n), cls=pa.array(as_long(_classes(h, begin)), mask=n == 0), sketch=pa.array([x.tobytes() for x in sketch], pa.binary()), block=pa.nulls(m, pa.int32()), counts=pa.nulls(m, pa.binary()))
-    blocks = counts.reshape(FREQ_BLOCKS, -1)
-    used = np.flatnonzero(blocks.any(1))
-    if len(used):
-        m = len(used)
-        yield batch(doc_id=pa.nulls(m, pa.int64()), n=pa.nulls(m, pa.int64()), cls=pa.nulls(m, pa.int64()), sketch=pa.nulls(m, pa.binary()), block=pa.array(used, pa.int32()), counts=pa.array([zlib.compress(blocks[k].astype("<i8").tobytes(), 1) for k in used], pa.binary()))
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up counter blocks, one batch at a time."""
-    sums: dict[int, np.ndarray] = {}
-    for rows in batches:
-        for k, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-            more = np.frombuffer(zlib.decompress(blob.as_buffer()), "<i8")
-            sums[k] = sums[k] + more if k in sums else more
-    if sums:
-        yield batch(block=pa.array(list(sums), pa.int32()), counts=pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary()))
+    block, packed = pack_blocks(counts, FREQ_BLOCKS)
+    if m := len(block):
+        yield batch(doc_id=pa.nulls(m, pa.int64()), n=pa.nulls(m, pa.int64()), cls=pa.nulls(m, pa.int64()), sketch=pa.nulls(m, pa.binary()), block=block, counts=packed)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, counts) -> Iterator[pa.RecordBatch]:
@@ -164,11 +150,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = profile.filter("block is null").select("doc_id", "n", "cls", "sketch")
     classes = stage.write(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    sums = profile.filter("block is not null").select("block", "counts").repartition(FREQ_BLOCKS, "block").mapInArrow(_summed, "block int, counts binary")
-    counts = np.zeros((FREQ_BLOCKS, (1 << FREQ_BITS) // FREQ_BLOCKS), np.int64)  # 8 MB, whatever the input
-    for r in sums.collect():
-        counts[r.block] += np.frombuffer(zlib.decompress(r.counts), "<i8")
-    rank = spark.sparkContext.broadcast(np.minimum(counts.ravel(), (1 << 23) - 1).astype(np.uint32))
+    counts = add_blocks(profile.filter("block is not null").select("block", "counts"), FREQ_BLOCKS, 1 << FREQ_BITS)
+    rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1).astype(np.uint32))
 
     prefixes = stage.write(docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(it, size, num, den, rank), "tok long, cls long, n int, pos int"), "prefixes")
     shared = prefixes.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
