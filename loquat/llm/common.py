@@ -202,28 +202,28 @@ def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def pack_blocks(values: np.ndarray, blocks: int) -> tuple[pa.Array, pa.Array]:
+def pack_blocks(values: np.ndarray, blocks: int, dtype: str = "<i8") -> tuple[pa.Array, pa.Array]:
     """(block, zipped sums) of the blocks of a task's sums that aren't all zero."""
     parts = values.reshape(blocks, -1)
     used = np.flatnonzero(parts.any(1))
-    return pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].astype("<i8").tobytes(), 1) for k in used], pa.binary())
+    return pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].astype(dtype).tobytes(), 1) for k in used], pa.binary())
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_blocks(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for rows in batches:
         for k, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-            more = np.frombuffer(zlib.decompress(blob.as_buffer()), "<i8")
+            more = np.frombuffer(zlib.decompress(blob.as_buffer()), dtype)
             sums[k] = sums[k] + more if k in sums else more
     if sums:
         yield batch(block=pa.array(list(sums), pa.int32()), sums=pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary()))
 
 
-def add_blocks(df: DataFrame, blocks: int, size: int) -> np.ndarray:
+def add_blocks(df: DataFrame, blocks: int, size: int, dtype: str = "<i8") -> np.ndarray:
     """The tasks' sums (block, sums) added up by the executors, a batch at a time; ``size`` numbers come to the driver, whatever the input."""
-    out = np.zeros((blocks, size // blocks), np.int64)
-    for r in df.repartition(blocks, "block").mapInArrow(_add_blocks, "block int, sums binary").collect():
-        out[r.block] += np.frombuffer(zlib.decompress(r.sums), "<i8")
+    out = np.zeros((blocks, size // blocks), dtype)
+    for r in df.repartition(blocks, "block").mapInArrow(lambda it: _add_blocks(it, dtype), "block int, sums binary").collect():
+        out[r.block] += np.frombuffer(zlib.decompress(r.sums), dtype)
     return out.ravel()
 
 

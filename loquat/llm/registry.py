@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality, substring_dedup
+from . import decontaminate, jaccard_join, packing, quality, substring_dedup
 
 _QUERIES = {
     "op2_packing": packing.query,
     "op4_quality": quality.query,
     "op5_substring_dedup": substring_dedup.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 _SQL: dict[str, str] = {}
