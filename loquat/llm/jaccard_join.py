@@ -10,8 +10,9 @@ shingles of ``size`` words (its whole sequence as one, if it has fewer). Two doc
 2. Shingles are ordered by (counter, hash), rarest first. A class of n shingles that links with anything
    shares at least ceil(num*n/den) of them, so any link shows in the first n - ceil(num*n/den) + 1: only
    those go to the join.
-3. Every class meets the first and the last class of each of its prefix shingles: linear in the prefixes,
-   whatever the size of a group. Pairs pass the length filter and the suffix filter (the sketches bound
+3. Every class meets one class for each of its prefix shingles: that in which the shingle stands first. Rare
+   shingles come first, so it is the one with the fewest changes of its own, the middle of a group of near
+   copies. That is linear in the prefixes, whatever the size of a group. Pairs pass the length filter and the suffix filter (the sketches bound
    the intersection), and are verified once on the exact sets.
 4. Verified links are contracted to components. Prefix shingles that still hold several components are
    joined with themselves across components only, with length, positional and suffix filters, and the
@@ -96,7 +97,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int,
             if out:
                 lengths = np.array([len(x) for x in out])
                 pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield batch(tok=pa.array(as_long(np.concatenate(out))), cls=pa.array(np.repeat(np.array(cls, np.int64), lengths)), n=pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pos=pa.array(pos.astype(np.int32)))
+                yield batch(tok=pa.array(as_long(np.concatenate(out))), cls=pa.array(np.repeat(np.array(cls, np.int64), lengths)), at=pa.array(np.repeat(np.array(sizes, np.int64) << 32, lengths) | pos))
 
 
 def _own_text(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -153,11 +154,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = add_blocks(profile.filter("block is not null").select("block", "counts"), FREQ_BLOCKS, 1 << FREQ_BITS)
     rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1).astype(np.uint32))
 
-    prefixes = stage.write(docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(it, size, num, den, rank), "tok long, cls long, n int, pos int"), "prefixes")
-    shared = prefixes.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
+    n, pos = (lambda at: F.shiftright(at, 32)), (lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
+    prefixes = stage.write(docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(it, size, num, den, rank), "tok long, cls long, at long"), "prefixes")
+    shared = prefixes.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min_by("cls", pos("at")).alias("hub")).filter("lo <> hi").select("tok", "hub")
     live = stage.write(prefixes.join(shared, "tok"), "live")
     stage.drop("prefixes")
 
+    # ``at`` packs the size of the set and the place of the shingle in it
     size_of = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"k_{s}"))
     lengths = F.col("n_a") * den >= F.col("n_b") * num
     lengths &= F.col("n_b") * den >= F.col("n_a") * num
@@ -174,19 +177,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
         return stage.write(both.mapInArrow(lambda it: _verified(it, size, num, den), "a long, b long"), f"{name}-links")
 
-    ends = live.select("cls", F.explode(F.array("lo", "hi")).alias("end")).filter("cls <> end")
+    ends = live.filter("cls <> hub").select("cls", F.col("hub").alias("end"))
     first = verify(ends.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct(), "first")
     labels = connected_components(first, stage, "first-cc")
-    named = live.join(labels, live.cls == labels.v, "left").select("tok", "cls", "n", "pos", F.coalesce("component", "cls").alias("c"))
+    named = live.join(labels, live.cls == labels.v, "left").select("tok", "cls", "at", F.coalesce("component", "cls").alias("c"))
     named = stage.write(named, "named")
     stage.drop("live")
     several = named.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
     open_ = stage.write(named.join(several, "tok"), "open")
     stage.drop("named")
-    x = open_.select("tok", *(F.col(k).alias(f"{k}_a") for k in ("cls", "n", "pos", "c")))
-    y = open_.select(F.col("tok").alias("tok_b"), *(F.col(k).alias(f"{k}_b") for k in ("cls", "n", "pos", "c")))
-    need = (F.col("n_a") + F.col("n_b")).cast("long") * num  # of (num + den) times the intersection
-    most = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1).cast("long")
+    x = open_.select("tok", *(F.col(k).alias(f"{k}_a") for k in ("cls", "c")), n("at").alias("n_a"), pos("at").alias("pos_a"))
+    y = open_.select(F.col("tok").alias("tok_b"), *(F.col(k).alias(f"{k}_b") for k in ("cls", "c")), n("at").alias("n_b"), pos("at").alias("pos_b"))
+    need = (F.col("n_a") + F.col("n_b")) * num  # of (num + den) times the intersection
+    most = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
     across = x.join(y, (F.col("tok") == F.col("tok_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("c_a") != F.col("c_b")) & lengths & (most * (num + den) >= need))
     across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     tried = spark.read.schema("a long, b long").parquet(stage.path("first-likely"))
