@@ -15,7 +15,7 @@ matches never cross documents. The result is exact; strings are judged on the in
    neighbouring suffixes by increasing value and stops at 100 (``interval_expansion``): suffixes between two
    values under 100 start with one and the same string.
    Anchors with very many contexts (``wide``) are counted by window hash with partial sums instead, as no task
-   should hold them.
+   should hold them; their contexts then meet the list of the anchor's repeated windows.
 4. *Spans.* Removed windows are merged per document and applied to its bytes.
 
 Defined cases: null or short texts lose nothing; null ids and ids that repeat are replaced by surrogates in the
@@ -38,6 +38,8 @@ LENGTH = 100
 GRAM = 50
 #: Contexts of an anchor that one task compares by intervals; anchors with more go by partial sums.
 WIDE = 256
+#: Repeated windows of such an anchor that meet each of its contexts in one row.
+LISTED = 512
 #: Bytes for which one Burrows-Wheeler transform is built.
 BLOCK_BYTES = 1 << 20
 _START_BITS = 16  # of a packed span: start << 16 | windows
@@ -324,6 +326,31 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield batch(h=pa.array(h[owner]), w=pa.array(as_long(w)), doc=pa.array(doc[owner]), start=pa.array(start[owner] + at))
 
 
+def _against(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts with a list of windows of their anchor that repeat, and where each is first: rows (doc, span) of those that go."""
+    for rows in batches:
+        h, doc, span = (rows.column(k).to_numpy() for k in (0, 1, 2))
+        lists = rows.column(4)
+        edge = lists.offsets.to_numpy()
+        w, d, s = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out_doc, out_span = [], []
+        for k, data in enumerate(rows.column(3).to_pylist()):
+            own = as_long(gram_hashes(np.frombuffer(data, np.uint8), length))
+            part = slice(edge[k], edge[k + 1])
+            by = np.argsort(w[part])
+            known = w[part][by]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            start = (span[k] >> _START_BITS) + np.arange(len(own))
+            gone = start[(known[at] == own) & ((d[part][by][at] != doc[k]) | (s[part][by][at] != start))]
+            if len(gone):
+                head = gone[np.append(True, np.diff(gone) > 1)]
+                tail = gone[np.append(np.diff(gone) > 1, True)]
+                out_doc.append(np.full(len(head), doc[k]))
+                out_span.append(head << _START_BITS | tail - head + 1)
+        if out_doc:
+            yield batch(doc=pa.array(np.concatenate(out_doc)), span=pa.array(np.concatenate(out_span)))
+
+
 def _bytes_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Documents (doc, text, asked: array of (h, span, contexts)) to rows (h, doc, span, bytes, contexts)."""
     for rows in batches:
@@ -399,13 +426,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = with_bytes.filter(F.col("contexts") <= wide).select("h", "doc", "span", "bytes").repartition("h")
     gone = narrow.mapInArrow(lambda it: _compared(it, length), "doc long, span long")
     windows = with_bytes.filter(F.col("contexts") > wide).select("h", "doc", "span", "bytes").mapInArrow(lambda it: _windows(it, length), "h long, w long, doc long, start long")
-    windows = stage.write(windows, "windows")
-    earliest = windows.groupBy("h", "w").agg(F.count("*").alias("n"), F.min("doc").alias("d")).filter("n > 1")
-    earliest = windows.join(earliest, ["h", "w"]).filter("doc = d").groupBy("h", "w", "d").agg(F.min("start").alias("s"))
-    again = windows.join(earliest, ["h", "w"]).filter("doc <> d or start <> s").select("doc", F.expr(f"shiftleft(start, {_START_BITS}) | 1L").alias("span"))
+    repeated = windows.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1")
+    repeated = stage.write(repeated.select("h", "w", "first.doc", "first.start"), "repeated")
+    parts = repeated.groupBy("h").agg(F.ceil(F.count("*") / F.lit(LISTED)).alias("parts"))
+    listed = repeated.join(parts, "h").groupBy("h", F.pmod("w", "parts").alias("part")).agg(F.collect_list(F.struct("w", "doc", "start")).alias("listed"))
+    wide_rows = with_bytes.filter(F.col("contexts") > wide).select("h", "doc", "span", "bytes").join(listed, "h")
+    again = wide_rows.select("h", "doc", "span", "bytes", "listed").mapInArrow(lambda it: _against(it, length), "doc long, span long")
     spans = settled.filter("h is null").select("doc", "span").unionByName(gone).unionByName(again)
     spans = stage.write(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
-    stage.drop("settled", "bytes", "windows")
+    stage.drop("settled", "bytes", "repeated")
 
     schema = "doc_id long, n_bytes long, removed array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_text
     touched = join_few(docs, spans, "doc").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, length, with_text), schema)
