@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality, substring_dedup
+from . import ann, decontaminate, jaccard_join, licenses, line_dedup, packing, quality, substring_dedup, url_filter, warc
 
 _QUERIES = {
+    "op1_ann": ann.query,
     "op2_packing": packing.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_quality": quality.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_licenses": licenses.query,
+    "op7_url_filter": url_filter.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
 }
 
-_SQL: dict[str, str] = {}
+_SQL = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op6_licenses": licenses.SQL,
+    "op7_url_filter": url_filter.SQL,
+    "op9_warc": warc.SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
