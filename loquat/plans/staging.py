@@ -1,0 +1,15 @@
+"""Cutting lineage in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in ``spark.checkpoint.dir`` (a temporary folder only where the session names none)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loquat-"))
+    return df.checkpoint()
