@@ -89,7 +89,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     match = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_digest"))
     split = F.split(text, "\n")
     kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains("_gone", k)), "\n")
-    out = docs.join(bounded(dropped, 50_000), match, "left")
+    out = docs.join(dropped.hint("merge"), match, "left")  # lists of lines have no bound: never broadcast
     return out.select(
         *(F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
