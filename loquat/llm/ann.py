@@ -49,7 +49,7 @@ class Codes:
         self.centre = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
         z = sample - self.centre
         dims = sample.shape[1]
-        axes = np.linalg.svd(z, full_matrices=True)[2] if len(sample) > 1 and dims else np.eye(dims)
+        axes = np.linalg.eigh(z.T @ z)[1].T[::-1]  # principal axes, the widest first
         spin = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
         v = z @ axes.T
         for _ in range(rounds if len(sample) > 1 else 0):
