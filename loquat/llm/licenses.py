@@ -5,8 +5,8 @@ made one; every run of other marks than letters and digits one blank) and the SH
 joined with the digests of known licence texts. The whole document is looked up, and so is each of its lines, as
 short notices stand on a line of their own.
 
-Everything is DataFrame operations. Only distinct line digests that a known digest shares go beyond the scan; the
-known digests are broadcast only if counted to be few.
+Everything is DataFrame operations. A line is only brought to its form if it holds the longest word of a known form
+(in any spelling), without which it cannot be equal to one. The known digests are broadcast only if counted to be few.
 
 Defined cases: null text has no digest and no licence; a text whose form is empty has none either; rows that
 repeat, or have no id, are each judged; of known texts with equal forms the smallest name is given; an empty table
@@ -55,12 +55,16 @@ KNOWN = [
 ]
 # Spellings that count as equal.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("authorisation", "authorization"), ("authorised", "authorized"), ("noninfringement", "non infringement"), ("whilst", "while"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"), ("per cent", "percent"), ("https", "http")]
+#: Distinct keys up to which lines are tested for them.
+KEYS = 64
 _COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright( notice)?\b|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
 _MARKS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    low = F.lower(text)
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    out = F.when(marked, F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low)
     out = F.regexp_replace(out, _MARKS, " ")
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for old, new in SPELLINGS:
@@ -74,16 +78,33 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license, key): the key is the longest word of the form."""
     df = spark.createDataFrame(known if known is not None else KNOWN, "license string, text string")
-    return df.select("license", digest(F.col("text")).alias("digest")).filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    form = canonical(F.col("text"))
+    key = F.element_at(F.array_sort(F.transform(F.split(form, " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    df = df.select("license", digest(F.col("text")).alias("digest"), key.alias("key")).filter("digest is not null")
+    return df.groupBy("digest").agg(F.min("license").alias("license"), F.min("key").alias("key"))
+
+
+def _may_match(line: Column, keys: list[str]) -> Column:
+    """Whether a line holds one of the keys, or a spelling that becomes one; with very many keys, always."""
+    if len(keys) > KEYS:
+        return F.lit(True)
+    wanted = {*keys, *(old.split(" ")[0] for old, new in SPELLINGS if {*new.split(" ")} & {*keys})}
+    low, out = F.lower(line), F.lit(False)
+    for word in sorted(wanted):
+        out |= low.contains(word)
+    return out
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, digest, license (of the whole text or null), notices (licences of its lines, sorted)."""
     stage = Stage(docs.sparkSession, "licenses")
-    known = bounded(stage.write(known, "known"))
+    known = stage.write(known, "known")
+    keys = [r.key for r in known.select("key").distinct().limit(KEYS + 1).collect()]
+    known = bounded(known.select("digest", "license"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = rows.select(F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = rows.select(F.xxhash64("text").alias("key"), F.explode(F.filter(F.split("text", "\n"), lambda line: _may_match(line, keys))).alias("line"))
     found = lines.select("key", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     found = stage.write(found, "notices")
     whole = rows.select("doc_id", F.xxhash64("text").alias("key"), digest(F.col("text")).alias("digest")).join(known, "digest", "left")
