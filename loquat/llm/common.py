@@ -186,10 +186,10 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
             out[a:b] = acc[w : w + b - a]
             out[a:b].sort()
         elif words[d]:
-            one = U64(words[d])
-            for x in h[w : w + words[d]]:
-                one = mix(np.array([one * U64(0xA0761D6478BD642F) + x], np.uint64))[0]
-            out[a] = one
+            one = words[d : d + 1].astype(np.uint64)
+            for k in range(w, w + words[d]):
+                one = mix(one * U64(0xA0761D6478BD642F) + h[k : k + 1])
+            out[a] = one[0]
     if len(out):
         keep[1:] = out[1:] != out[:-1]
         keep[begin[:-1][counts > 0]] = True

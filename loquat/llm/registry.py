@@ -23,8 +23,10 @@ _QUERIES = {
 
 _SQL = {
     "op3_line_dedup": line_dedup.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op6_licenses": licenses.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op9_warc": warc.SQL,
 }
 

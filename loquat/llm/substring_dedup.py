@@ -449,3 +449,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+SQL = f"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents
+), strings AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2 * {LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(n - {LENGTH} + 1)) AS p FROM bytes WHERE n >= {LENGTH})
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM strings) WHERE k > 1
+), heads AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS head FROM again
+), runs AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM heads) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w AS after FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), cut AS (
+  SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * before + 1, (2 * (a - before))::BIGINT), '' ORDER BY a) || max(CASE WHEN after IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS kept
+  FROM gaps g JOIN bytes ON g.doc_id = bytes.doc_id GROUP BY g.doc_id
+)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bytes b LEFT JOIN cut ON b.doc_id = cut.doc_id
+"""
