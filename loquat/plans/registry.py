@@ -20,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Spelling costs far more than moving text, so fewer files than cores are dealt out anew; large tables are read as they are split."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
 
 
 def _squeezed(text):
