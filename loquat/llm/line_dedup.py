@@ -11,6 +11,11 @@ at least half as many (lines of one leaf are the same; the ends of documents are
 unrelated documents goes, while the lines of documents that are copies of each other, which always follow each
 other, stay: whole copies are another operator's task. Equal texts count as one document.
 
+With ``runs`` (the pipeline's rule; SQL and the query have the one above) a template of ``DOCS`` documents recurs as
+well if the maximal runs of such lines that it stands in have ``DOCS`` different surroundings (the lines above and below
+the run; lines without words don't count), in documents of which these lines are at most half the words. So boilerplate
+of several lines goes, and copies, which are mostly such lines, neither add to nor take from what unrelated documents show.
+
 Lines of fewer than ``WORDS`` words are never dropped. Leaves that cannot recur leave before any word is exploded.
 
 Defined cases: null text stays null and has no lines; an empty text is one empty line; rows that repeat, or repeat
@@ -20,7 +25,7 @@ an empty text; an empty table gives no row; other columns are passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, bounded, table
@@ -49,7 +54,17 @@ def _leaf(line: Column) -> Column:
     return F.element_at(F.transform(F.array(leaf), lambda x: F.struct(x.alias("leaf"), F.coalesce(x, F.xxhash64(line)).alias("near"))), 1)
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _recurring_runs(seen: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Templates of ``frequent`` (staged) whose runs have ``DOCS`` different surroundings in documents that aren't mostly such lines."""
+    held = seen.join(bounded(frequent), "template", "left_semi")
+    order, own = Window.partitionBy("_digest").orderBy("rank"), Window.partitionBy("_digest", "run")
+    held = held.withColumn("run", F.col("rank") - F.row_number().over(order)).withColumn("shared", F.sum("size").over(Window.partitionBy("_digest")))
+    edges = F.xxhash64(F.min_by("over", "rank").over(own), F.max_by("under", "rank").over(own))
+    held = held.withColumn("edges", edges).filter("2 * shared <= total").select("template", "edges").distinct()
+    return held.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCS).select("template")
+
+
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """``docs`` with the text of the lines that stay, and n_lines and n_dropped (long)."""
     spark = docs.sparkSession
     stage = Stage(spark, "lines")
@@ -63,9 +78,17 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     placed = rows.withColumn("leaves", leaves)
     around = F.transform("leaves", lambda leaf, k: F.struct(k.alias("at"), leaf["leaf"].alias("leaf"), F.coalesce(F.get("leaves", k - 1)["near"], "_digest").alias("above"), F.coalesce(F.get("leaves", k + 1)["near"], "_digest").alias("below"), F.get("_lines", k).alias("line")))
+    more = []
+    if runs:
+        more = ["rank", "over", "under", "size", "total"]
+        solid = F.filter(F.transform("leaves", lambda leaf, k: F.struct(k.alias("at"), leaf["leaf"].alias("leaf"), leaf["near"].alias("near"), F.size(_words(F.get("_lines", k))).cast("long").alias("size"))), lambda x: x["size"] > 0)
+        placed = placed.withColumn("solid", solid).withColumn("total", F.aggregate("solid", F.lit(0).cast("long"), lambda n, x: n + x["size"]))
+        beside = lambda k: F.coalesce(F.get("solid", k)["near"], F.lit(0).cast("long"))
+        within = lambda x: (x["at"], x["leaf"], F.coalesce(F.get("leaves", x["at"] - 1)["near"], "_digest").alias("above"), F.coalesce(F.get("leaves", x["at"] + 1)["near"], "_digest").alias("below"), F.get("_lines", x["at"]).alias("line"))
+        around = F.transform("solid", lambda x, k: F.struct(*within(x), k.alias("rank"), beside(k - 1).alias("over"), beside(k + 1).alias("under"), x["size"].alias("size"), F.col("total").alias("total")))
     lines = placed.select("_id", "_digest", F.explode(F.filter(around, lambda x: x["leaf"].isNotNull())).alias("x")).select("_id", "_digest", "x.*")
     lines = lines.join(bounded(common), "leaf", "left_semi")
-    lines = stage.write(lines.select("_id", "_digest", "at", "leaf", "above", "below", F.transform(_words(F.col("line")), _masked).alias("words")).withColumn("form", F.xxhash64("words")), "lines")
+    lines = stage.write(lines.select("_id", "_digest", "at", "leaf", "above", "below", *more, F.transform(_words(F.col("line")), _masked).alias("words")).withColumn("form", F.xxhash64("words")), "lines")
 
     forms = lines.groupBy("leaf", "form").agg(F.first("words").alias("words"), F.countDistinct("_digest").alias("docs"))
     forms = stage.write(forms, "forms")
@@ -78,10 +101,13 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     shaped = stage.write(shaped.filter((F.col("share") >= SHARE) & (F.col("plain") >= PLAIN)).select("leaf", "form", F.xxhash64("leaf", "template").alias("template")), "templates")
 
-    seen = stage.write(lines.select("leaf", "form", "_digest", "above", "below").distinct().join(shaped, ["leaf", "form"]), "seen")
+    seen = stage.write(lines.select("leaf", "form", "_digest", "above", "below", *more).distinct().join(shaped, ["leaf", "form"]), "seen")
     different = lambda c: seen.select("template", c).distinct().groupBy("template").agg(F.count("*").alias(c))
     counted = different("_digest").filter(F.col("_digest") >= DOCS).join(different("above"), "template").join(different("below"), "template")
     recurring = counted.filter("2 * above >= _digest and 2 * below >= _digest").select("template")
+    if runs:
+        frequent = stage.write(different("_digest").filter(F.col("_digest") >= DOCS).select("template"), "frequent")
+        recurring = recurring.unionByName(_recurring_runs(seen, frequent)).distinct()
     gone = stage.write(shaped.join(recurring, "template", "left_semi").select("leaf", "form"), "gone")
 
     dropped = lines.join(bounded(gone), ["leaf", "form"], "left_semi").groupBy("_id", "_digest").agg(F.collect_set("at").alias("_gone"))

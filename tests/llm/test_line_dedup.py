@@ -53,3 +53,26 @@ def test_repeated_rows_null_ids_and_empty(spark):
     out = L.drop_templates(df).collect()
     assert len(out) == len(rows) and all(line not in r.text for r in out) and all(r.n_dropped == 1 for r in out)
     assert L.drop_templates(df.filter("false")).count() == 0
+
+
+def test_runs_of_lines_and_hot_copies(spark):
+    rng = random.Random(7)
+    say = lambda k: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(k))
+    own = lambda: "\n".join(say(rng.randint(6, 14)) for _ in range(8))
+    footer = "This site keeps cookies for its visitors\n\nPlease write to the editors of the paper\nNo part of it may be copied"
+    line = "Sign up for the letter of the week"
+    body = [say(9) for _ in range(10)]
+    docs = [(i, own() + "\n" + footer) for i in range(12)]
+    docs += [(100 + i, own() + "\n" + line + "\n" + own()) for i in range(12)]
+    docs += [(200 + i, "\n".join([*body[:5], line, *body[5:], say(8)])) for i in range(60)]  # near copies that hold the line
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r for r in L.drop_templates(df, runs=True).collect()}
+    for i, text in docs:
+        want = [x for x in text.split("\n") if x != line and (not x or x not in footer)]
+        assert out[i].text == "\n".join(want), i
+
+
+def test_runs_drop_all_that_the_sql_rule_drops(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    plain, runs = ({r.doc_id: r.text for r in L.drop_templates(df, runs=k).collect()} for k in (False, True))
+    assert plain == runs
