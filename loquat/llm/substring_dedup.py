@@ -7,19 +7,23 @@ matches never cross documents. The result is exact; strings are judged on the in
    equals) is the window's anchor. The choice depends on the window's content alone, so equal windows have equal
    anchors. Neighbouring windows with one anchor form a *context* (its bytes and where the anchor stands).
    One pass gives (anchor hash, context hash, document, start, windows); copies within a task are settled there.
-2. *Contexts.* Dealt out by anchor: of equal contexts the first stays in question, all windows of the others
-   start earlier elsewhere. An anchor with one context is settled.
-3. *Intervals.* For anchors with several contexts, the first of each fetch their bytes. Windows whose hash does
-   not repeat within the anchor are dropped and spans that are now equal are merged; on the rest a Burrows-Wheeler
-   transform is built, and breadth-first backward extension from the empty string derives the common prefixes of
-   neighbouring suffixes by increasing value and stops at 100 (``interval_expansion``): suffixes between two
-   values under 100 start with one and the same string.
-   Anchors with very many contexts (``wide``) are counted by window hash with partial sums instead, as no task
-   should hold them; their contexts then meet the list of the anchor's repeated windows.
+2. *Contexts.* Dealt out by anchor and read in order: of equal contexts the first stays in question, all windows of
+   the others start earlier elsewhere. An anchor with one context is settled.
+3. *Pieces.* Contexts in question fetch their bytes. While a group has more than ``WIDE`` of them, its windows are
+   halved by their distance from the anchor: the windows of a half all hold more bytes around the anchor, and contexts
+   are dealt out anew by these, their cores. Contexts that are equal in a half are settled again, within tasks before
+   the exchange too, so a group of near copies shrinks from level to level to those that differ in the half itself.
+   A half of one window holds equal strings only, so at most ``log2(LENGTH - GRAM)`` levels, rounded up, are needed.
+   *Intervals.* Every group then goes the same way: windows whose hash does not repeat within it are dropped and spans
+   that are now equal are merged; on the rest a Burrows-Wheeler transform is built, and breadth-first backward
+   extension from the empty string derives the common prefixes of neighbouring suffixes by increasing value and stops
+   at 100 (``interval_expansion``): suffixes between two values under 100 start with one and the same string.
 4. *Spans.* Removed windows are merged per document and applied to its bytes.
 
-Defined cases: null or short texts lose nothing; null ids and ids that repeat are replaced by surrogates in the
-order (id, nulls first; text digest), equal rows being one document; an empty table gives no row.
+Defined cases: null or short texts lose nothing; ids that are null, repeat, or aren't whole numbers are replaced by
+surrogates in the order (id, nulls first; text digest), equal rows being one document; a very long text is anchored
+a stretch at a time and held by one task at the end, when its runs are cut; other columns are not passed on,
+whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +41,8 @@ from .common import _BASE, _BYTE_VALUES, U64, Stage, as_long, batch, bounded, ch
 
 LENGTH = 100
 GRAM = 50
-#: Contexts of an anchor that one task compares by intervals; anchors with more go by partial sums.
+#: Contexts that are compared together by intervals; larger groups are split by their content first.
 WIDE = 256
-#: Repeated windows of such an anchor that meet each of its contexts in one row.
-LISTED = 512
 #: Bytes for which one Burrows-Wheeler transform is built.
 BLOCK_BYTES = 1 << 20
 _START_BITS = 16  # of a packed span: start << 16 | windows
@@ -144,25 +147,120 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
         yield batch(h=pa.array(as_long(h)), ctx=pa.array(as_long(ctx), mask=~first), doc=pa.array(doc), span=pa.array(span))
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All contexts of some anchors to rows (doc, span, h, contexts); h is null where the span's windows go."""
-    got = [rows for rows in batches if rows.num_rows]
-    if not got:
-        return
-    h, doc, span = (np.concatenate([r.column(k).to_numpy() for r in got]) for k in (0, 2, 3))
-    ctx = np.concatenate([r.column(1).fill_null(0).to_numpy() for r in got])
-    done = np.concatenate([r.column(1).is_null().to_numpy(zero_copy_only=False) for r in got])
-    yield batch(doc=pa.array(doc[done]), span=pa.array(span[done]), h=pa.nulls(int(done.sum()), pa.int64()), contexts=pa.nulls(int(done.sum()), pa.int32()))
-    h, ctx, doc, span = h[~done], ctx[~done], doc[~done], span[~done]
-    order = np.lexsort((span, doc, ctx, h))
-    h, ctx, doc, span = h[order], ctx[order], doc[order], span[order]
-    once = _groups(h, ctx, doc, span)
-    h, ctx, doc, span = h[once], ctx[once], doc[once], span[once]
-    first = _groups(h, ctx)
-    group = np.cumsum(_groups(h)) - 1
-    kinds = np.bincount(group, weights=first).astype(np.int32)[group] if len(group) else np.zeros(0, np.int32)
-    keep = ~first | (kinds > 1)
-    yield batch(doc=pa.array(doc[keep]), span=pa.array(span[keep]), h=pa.array(h[keep], mask=~first[keep]), contexts=pa.array(kinds[keep]))
+def _settled(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, ctx, doc, span) in this order to rows (doc, span, h, contexts); h is null where the span's windows go.
+
+    Only the first contexts of the anchor at hand are held, up to ``wide``; with more it is known to be wide.
+    """
+
+    def made(doc, span, h=None, kinds=None):
+        n = len(doc)
+        return batch(doc=pa.array(doc), span=pa.array(span), h=pa.nulls(n, pa.int64()) if h is None else pa.array(h), contexts=pa.nulls(n, pa.int32()) if h is None else pa.array(np.minimum(kinds, wide + 1).astype(np.int32)))
+
+    last = known = None
+    held = [np.zeros(0, np.int64)] * 3
+    for rows in batches:
+        gone = rows.column(1).is_null().to_numpy(zero_copy_only=False)
+        h, ctx, doc, span = (c.to_numpy()[~gone] if k != 1 else c.fill_null(0).to_numpy()[~gone] for k, c in enumerate(rows.columns))
+        if gone.any():
+            yield made(rows.column(2).to_numpy()[gone], rows.column(3).to_numpy()[gone])
+        if not len(h):
+            continue
+        once, first = _groups(h, ctx, doc, span), _groups(h, ctx)  # equal rows of the table are one document
+        if last is not None:
+            once[0], first[0] = (h[0], ctx[0], doc[0], span[0]) != last, (h[0], ctx[0]) != last[:2]
+        last = (h[-1], ctx[-1], doc[-1], span[-1])
+        later = once & ~first
+        yield made(doc[later], span[later])
+        h, doc, span = (np.concatenate((x, y[first])) for x, y in zip(held, (h, doc, span), strict=True))
+        if not len(h):
+            continue
+        begin = np.flatnonzero(_groups(h))
+        sizes = np.diff(np.append(begin, len(h)))
+        if known is not None and h[0] == known:
+            sizes[0] = wide + 1
+            kinds = np.repeat(sizes, np.diff(np.append(begin, len(h))))
+        else:
+            kinds = np.repeat(sizes, sizes)
+        known, end = (h[-1], len(h)) if kinds[-1] > wide else (None, begin[-1])
+        ask = np.flatnonzero(kinds[:end] > 1)
+        yield made(doc[ask], span[ask], h[ask], kinds[ask])
+        held = [x[end:] for x in (h, doc, span)]
+    if len(held[0]) > 1:
+        yield made(held[1], held[2], held[0], np.full(len(held[0]), len(held[0])))
+
+
+def _span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+_HALVED = "h long, ctx long, doc long, span long, bytes binary, anchor int, low int, high int"
+
+
+def _halved(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Contexts (h, doc, span, bytes, anchor, low, high) to their windows that start ``low`` to the middle, and those that start farther before the anchor.
+
+    The new h is a hash of the bytes that all windows of the half hold, and the old h; ctx is null where an equal context of
+    this task is earlier. An ``anchor`` of -1 is found first: in the range that all windows cover, leftmost.
+    """
+    for whole in batches:
+        for part in range(0, whole.num_rows, 4000):
+            rows = whole.slice(part, 4000)
+            h, doc, span, anchor, low, high = (rows.column(k).to_numpy() for k in (0, 1, 2, 4, 5, 6))
+            anchor = anchor.astype(np.int64)
+            data = rows.column(3)
+            sizes = pc.binary_length(data).to_numpy().astype(np.int64)
+            raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+            base = np.cumsum(sizes) - sizes
+            count, start = span & 0xFFFF, span >> _START_BITS
+            if (anchor < 0).any():
+                spots = length - gram + 2 - count
+                owner, at = np.repeat(np.arange(len(h)), spots), _ranges(count - 1, spots)
+                same = np.flatnonzero(as_long(gram_hashes(raw, gram))[base[owner] + at] == h[owner])
+                hit = same[::-1]
+                found = np.full(len(h), -1, np.int64)
+                found[owner[hit]] = at[hit]  # the leftmost is written last
+                anchor = np.where(anchor < 0, found, anchor)
+            middle = (low.astype(np.int64) + high) // 2
+            out = []
+            for upper in (False, True):
+                skip = np.zeros_like(count) if upper else np.maximum(0, anchor - middle)
+                many = np.minimum(count, anchor - middle) if upper else count - skip
+                lo, hi = (middle + 1, high.astype(np.int64)) if upper else (low.astype(np.int64), middle)
+                k = np.flatnonzero((many > 0) & (lo <= hi))
+                lo, hi, skip, many, spot = lo[k], hi[k], skip[k], many[k], anchor[k] - skip[k]
+                begin = base[k] + skip
+                core = _span_hashes(raw, begin + spot - lo, begin + spot + length - hi)
+                key = mix(core ^ mix(h[k].view(np.uint64) + (lo << 16 | hi).astype(np.uint64)))
+                ctx = mix(_span_hashes(raw, begin, begin + many + length - 1) + (spot << 16 | many).astype(np.uint64))
+                out.append((as_long(key), as_long(ctx), doc[k], start[k] + skip << _START_BITS | many, begin, many, spot, lo, hi))
+            h, ctx, doc, span, begin, many, spot, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+            by = np.lexsort((span, doc, ctx, h))
+            h, ctx, doc, span, begin, many, spot, lo, hi = (x[by] for x in (h, ctx, doc, span, begin, many, spot, lo, hi))
+            later = ~_groups(h, ctx)
+            h = np.where(later, as_long(mix(doc.astype(np.uint64) * U64(31) + span.astype(np.uint64))), h)  # anywhere: only spread
+            pieces = [None if gone else raw[b : b + m + length - 1].tobytes() for gone, b, m in zip(later, begin, many, strict=True)]
+            small = lambda x: pa.array(x.astype(np.int32))
+            yield batch(h=pa.array(h), ctx=pa.array(ctx, mask=later), doc=pa.array(doc), span=pa.array(span), bytes=pa.array(pieces, pa.binary()), anchor=small(spot), low=small(lo), high=small(hi))
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_halved`` in the order (h, ctx, doc, span): the first of equal contexts; of the others doc and span, h being null."""
+    last = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        gone = rows.column(1).is_null().to_numpy(zero_copy_only=False)
+        h, ctx = rows.column(0).to_numpy(), rows.column(1).fill_null(0).to_numpy()
+        first = _groups(h, ctx) | np.append(True, gone[:-1])
+        if last is not None:
+            first[0] = (h[0], ctx[0]) != last
+        last = None if gone[-1] else (h[-1], ctx[-1])
+        first &= ~gone
+        yield batch(h=pa.array(h, mask=~first), **{c: rows.column(c) for c in rows.schema.names[2:]})
 
 
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -291,64 +389,30 @@ def _repeats(h, doc, start, count, spans: list[bytes], length: int) -> tuple[np.
 
 
 def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All contexts (h, doc, span, bytes) of some anchors to rows (doc, span) of windows that go."""
-    got = [rows for rows in batches if rows.num_rows]
-    if not got:
-        return
-    h, doc, span = (np.concatenate([r.column(k).to_numpy() for r in got]) for k in (0, 1, 2))
-    spans = [x for r in got for x in r.column(3).to_pylist()]
-    by = np.argsort(h, kind="stable")
-    edges = np.append(np.flatnonzero(_groups(h[by])), len(by))
-    lo = 0
-    while lo < len(edges) - 1:  # whole anchors, about 16 blocks at a time
-        hi, total = lo, 0
-        while hi < len(edges) - 1 and total < 16 * BLOCK_BYTES:
-            total += int(edges[hi + 1] - edges[hi]) * (length + 30)
-            hi += 1
-        pick = by[edges[lo] : edges[hi]]
-        d, s = _repeats(h[pick], doc[pick], span[pick] >> _START_BITS, span[pick] & 0xFFFF, [spans[k] for k in pick], length)
-        yield batch(doc=pa.array(d), span=pa.array(s))
-        lo = hi
+    """Contexts (h, doc, span, bytes) in the order of h to rows (doc, span) of windows that go; whole groups, about 16 blocks of bytes at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        h, doc, span = (rows.column(k).to_numpy() for k in range(3))
+        d, s = _repeats(h, doc, span >> _START_BITS, span & 0xFFFF, rows.column(3).to_pylist(), length)
+        return batch(doc=pa.array(d), span=pa.array(s))
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (h, doc, span, bytes) to a row (h, window hash, doc, start) for each window."""
     for rows in batches:
-        for part in range(0, rows.num_rows, 4000):
-            some = rows.slice(part, 4000)
-            h, doc, span = (some.column(k).to_numpy() for k in (0, 1, 2))
-            count, start = span & 0xFFFF, span >> _START_BITS
-            sizes = count + length - 1
-            raw = np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint8)
-            owner = np.repeat(np.arange(len(h)), count)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            w = gram_hashes(raw, length)[(np.cumsum(sizes) - sizes)[owner] + at]
-            yield batch(h=pa.array(h[owner]), w=pa.array(as_long(w)), doc=pa.array(doc[owner]), start=pa.array(start[owner] + at))
-
-
-def _against(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts with a list of windows of their anchor that repeat, and where each is first: rows (doc, span) of those that go."""
-    for rows in batches:
-        h, doc, span = (rows.column(k).to_numpy() for k in (0, 1, 2))
-        lists = rows.column(4)
-        edge = lists.offsets.to_numpy()
-        w, d, s = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        out_doc, out_span = [], []
-        for k, data in enumerate(rows.column(3).to_pylist()):
-            own = as_long(gram_hashes(np.frombuffer(data, np.uint8), length))
-            part = slice(edge[k], edge[k + 1])
-            by = np.argsort(w[part])
-            known = w[part][by]
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            start = (span[k] >> _START_BITS) + np.arange(len(own))
-            gone = start[(known[at] == own) & ((d[part][by][at] != doc[k]) | (s[part][by][at] != start))]
-            if len(gone):
-                head = gone[np.append(True, np.diff(gone) > 1)]
-                tail = gone[np.append(np.diff(gone) > 1, True)]
-                out_doc.append(np.full(len(head), doc[k]))
-                out_span.append(head << _START_BITS | tail - head + 1)
-        if out_doc:
-            yield batch(doc=pa.array(np.concatenate(out_doc)), span=pa.array(np.concatenate(out_span)))
+        if not rows.num_rows:
+            continue
+        held.append(rows)
+        size += rows.num_rows * (length + 30)
+        if size >= 16 * BLOCK_BYTES:
+            table = pa.Table.from_batches(held).combine_chunks()
+            h = table.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield compare(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            size = (table.num_rows - cut) * (length + 30)
+    if held:
+        yield compare(pa.Table.from_batches(held).combine_chunks())
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -405,44 +469,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_bytes, removed (array of byte runs), kept_sha256 [, kept (binary)]."""
     spark = docs.sparkSession
     stage = Stage(spark, "substrings")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    if not whole or docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
         keys = docs.select("doc_id", F.xxhash64("text").alias("digest")).distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
         keys = stage.write(keys.withColumn("doc", F.monotonically_increasing_id()), "keys")
         docs = docs.withColumn("digest", F.xxhash64("text")).join(keys.withColumnRenamed("doc_id", "key").withColumnRenamed("digest", "key_digest"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("key_digest"))).select("doc", "doc_id", "text")
         docs = stage.write(docs, "docs")
     else:
-        docs = docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text")
 
     body = docs.filter(F.octet_length("text") >= length).select("doc", "text")
     anchored = body.mapInArrow(lambda it: _anchored(it, length, gram), "h long, ctx long, doc long, span long")
-    settled = stage.write(anchored.repartition("h").mapInArrow(_settled, "doc long, span long, h long, contexts int"), "settled")
+    dealt = anchored.repartition("h").sortWithinPartitions("h", "ctx", "doc", "span")
+    settled = stage.write(dealt.mapInArrow(lambda it: _settled(it, wide), "doc long, span long, h long, contexts int"), "settled")
 
     asked = settled.filter("h is not null").groupBy("doc").agg(F.collect_list(F.struct("h", "span", "contexts")).alias("asked"))
     asked = stage.write(asked, "asked")
     with_bytes = join_few(body, asked, "doc").select("doc", "text", "asked").mapInArrow(lambda it: _bytes_of(it, length), "h long, doc long, span long, bytes binary, contexts int")
     with_bytes = stage.write(with_bytes, "bytes")
     stage.drop("asked")
-    narrow = with_bytes.filter(F.col("contexts") <= wide).select("h", "doc", "span", "bytes").repartition("h")
-    gone = narrow.mapInArrow(lambda it: _compared(it, length), "doc long, span long")
-    windows = with_bytes.filter(F.col("contexts") > wide).select("h", "doc", "span", "bytes").mapInArrow(lambda it: _windows(it, length), "h long, w long, doc long, start long")
-    repeated = windows.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1")
-    repeated = stage.write(repeated.select("h", "w", "first.doc", "first.start"), "repeated")
-    parts = repeated.groupBy("h").agg(F.ceil(F.count("*") / F.lit(LISTED)).alias("parts"))
-    listed = repeated.join(parts, "h").groupBy("h", F.pmod("w", "parts").alias("part")).agg(F.collect_list(F.struct("w", "doc", "start")).alias("listed"))
-    wide_rows = with_bytes.filter(F.col("contexts") > wide).select("h", "doc", "span", "bytes").join(listed, "h")
-    again = wide_rows.select("h", "doc", "span", "bytes", "listed").mapInArrow(lambda it: _against(it, length), "doc long, span long")
-    spans = settled.filter("h is null").select("doc", "span").unionByName(gone).unionByName(again)
+
+    def compared(contexts: DataFrame) -> DataFrame:
+        rows = contexts.select("h", "doc", "span", "bytes").repartition("h").sortWithinPartitions("h")
+        return rows.mapInArrow(lambda it: _compared(it, length), "doc long, span long")
+
+    spans = settled.filter("h is null").select("doc", "span").unionByName(compared(with_bytes.filter(F.col("contexts") <= wide)))
+    large = with_bytes.filter(F.col("contexts") > wide).select("h", "doc", "span", "bytes", F.lit(-1).alias("anchor"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+    levels = 0
+    while large.limit(1).count():
+        levels += 1
+        halves = large.mapInArrow(lambda it: _halved(it, length, gram), _HALVED).repartition("h", "ctx").sortWithinPartitions("h", "ctx", "doc", "span")
+        once = stage.write(halves.mapInArrow(_once, _HALVED.replace("ctx long, ", "")), f"level-{levels}")
+        open_ = once.filter("h is not null")
+        crowded = stage.write(open_.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > wide).select("h"), f"crowded-{levels}")
+        spans = spans.unionByName(once.filter("h is null").select("doc", "span")).unionByName(compared(open_.join(bounded(crowded), "h", "left_anti")))
+        large = open_.join(bounded(crowded), "h", "left_semi")
     spans = stage.write(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
-    stage.drop("settled", "bytes", "repeated")
+    stage.drop("settled", "bytes", *(f"{name}-{k + 1}" for k in range(levels) for name in ("level", "crowded")))
 
-    schema = "doc_id long, n_bytes long, removed array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_text
+    schema = f"doc_id {kind}, n_bytes long, removed array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_text
     touched = join_few(docs, spans, "doc").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, length, with_text), schema)
-    whole = docs.join(bounded(spans.select("doc")), "doc", "left_anti")
+    rest = docs.join(bounded(spans.select("doc")), "doc", "left_anti")
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     none = F.array().cast("array<struct<begin: long, end: long>>")
     columns = [F.col("doc_id"), F.length(data).cast("long").alias("n_bytes"), none.alias("removed"), F.sha2(data, 256).alias("kept_sha256"), data.alias("kept")]
-    return touched.unionByName(whole.select(columns[: 4 + with_text]))
+    return touched.unionByName(rest.select(columns[: 4 + with_text]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loquat.llm import substring_dedup as S
@@ -48,7 +49,7 @@ def result(df, **kw):
     return {r.doc_id: (r.n_bytes, sum(x.end - x.begin for x in r.removed), len(r.removed), r.kept_sha256) for r in S.remove_repeats(df, **kw).collect()}
 
 
-@pytest.mark.parametrize("seed,wide", [(1, 256), (2, 2), (3, 256)])
+@pytest.mark.parametrize("seed,wide", [(1, 256), (2, 1), (3, 256), (4, 3)])
 def test_against_brute_force(spark, seed, wide):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, doc long, spans string").repartition(5)
@@ -84,3 +85,41 @@ def test_long_document(spark):
     df = spark.createDataFrame([(1, text), (2, text[600_000:600_400])], "doc_id long, text string")
     got = result(df, with_text=True)
     assert got[1][1:3] == (500, 1) and got[2][1:3] == (400, 1)
+
+
+def test_many_near_copies_of_one_passage(spark):
+    """Every word of the passage is replaced somewhere, so all its anchors have far more contexts than one comparison takes."""
+    rng = random.Random(21)
+    passage = [f"{rng.choice('bdklmnrst')}{rng.choice('aeiou')}{rng.choice('bdklmnrst')}{k}" for k in range(45)]
+    rows = []
+    for i in range(10_000):
+        w = list(passage)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"other{rng.randrange(400)}"
+        rows.append((i, f"document {i} says: " + " ".join(w)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows, 100)
+    assert result(df, wide=64) == want
+    assert result(df) == want
+
+
+def test_settling_in_order_is_the_same_in_any_batches():
+    rng = np.random.default_rng(4)
+    rows = np.array(sorted({(int(rng.integers(0, 9)) ** 2, int(rng.integers(0, 40)), int(rng.integers(0, 30)), 1 << 16 | 3) for _ in range(700)}), np.int64)
+    rows = np.concatenate([rows, rows[::7]])
+    rows = rows[np.lexsort(rows.T[::-1])]
+
+    def run(cut):
+        parts = [rows[k : k + cut] for k in range(0, len(rows), cut)]
+        got = S._settled((S.batch(h=pa.array(x[:, 0]), ctx=pa.array(x[:, 1]), doc=pa.array(x[:, 2]), span=pa.array(x[:, 3])) for x in parts), 20)
+        return sorted(str(r) for b in got for r in b.to_pylist())
+
+    assert run(1) == run(13) == run(10_000)
+
+
+def test_other_ids_and_clashing_columns(spark):
+    rows = [(i, t) for i, t in corpus(5, 40)]
+    names = ["doc", "h", "ctx", "span", "spans", "digest", "bytes", "removed", "n_bytes", "kept", "asked", "key"]
+    df = spark.createDataFrame([(f"d{i:03}", t, *[1] * len(names)) for i, t in rows], "doc_id string, text string, " + ", ".join(f"{n} int" for n in names))
+    assert {int(k[1:]): v for k, v in result(df).items()} == brute(rows, 100)
