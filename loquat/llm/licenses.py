@@ -8,9 +8,14 @@ short notices stand on a line of their own.
 Everything is DataFrame operations. A line is only brought to its form if it holds the longest word of a known form
 (in any spelling), without which it cannot be equal to one. The known digests are broadcast only if counted to be few.
 
+Known are the texts below and, by the digests of their published texts alone, longer ones; a text is found if it is the
+whole licence and nothing else, apart from copyright lines. Lines that state a copyright begin with the word and its
+sign, or with one of them and name a year.
+
 Defined cases: null text has no digest and no licence; a text whose form is empty has none either; rows that
-repeat, or have no id, are each judged; of known texts with equal forms the smallest name is given; an empty table
-gives no row; other columns are ignored.
+repeat, or have no id, are each judged; ids are of any type; of known texts with equal forms the smallest name is given;
+an empty table gives no row; a very long text is one row's work and is never split; columns other than id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,29 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {holder} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_THIRD = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 KNOWN = [
+    ("BSD-2-Clause", _BSD.format(third="", holder="HOLDER")),
+    ("BSD-2-Clause", _BSD.format(third="", holder="HOLDERS")),
+    ("BSD-3-Clause", _BSD.format(third=_THIRD, holder="HOLDER")),
+    ("BSD-3-Clause", _BSD.format(third=_THIRD, holder="HOLDERS")),
+    ("Unlicense", _UNLICENSE),
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("ISC", _ISC),
@@ -53,11 +80,25 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# SHA-256 of the canonical form of the full texts of public licences, as they are published.
+DIGESTS = [
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+]
 # Spellings that count as equal.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("authorisation", "authorization"), ("authorised", "authorized"), ("noninfringement", "non infringement"), ("whilst", "while"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"), ("per cent", "percent"), ("https", "http")]
 #: Distinct keys up to which lines are tested for them.
 KEYS = 64
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright( notice)?\b|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
+# A line that states a copyright: the word and its sign, or one of them and a year.
+_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©)[^\n]*|(copyright( notice)?\b|\(c\)|©)[^\n]*[0-9]{4}[^\n]*)$"
 _MARKS = r"[^\p{L}\p{N}]+"
 
 
@@ -66,10 +107,10 @@ def canonical(text: Column) -> Column:
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
     out = F.when(marked, F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low)
     out = F.regexp_replace(out, _MARKS, " ")
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    out = F.replace(F.concat(F.lit(" "), out, F.lit(" ")), F.lit(" "), F.lit("  "))  # each word has blanks of its own
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(" " + old.replace(" ", "  ") + " "), F.lit(" " + new.replace(" ", "  ") + " "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -83,6 +124,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     form = canonical(F.col("text"))
     key = F.element_at(F.array_sort(F.transform(F.split(form, " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     df = df.select("license", digest(F.col("text")).alias("digest"), key.alias("key")).filter("digest is not null")
+    if known is None:
+        df = df.unionByName(spark.createDataFrame([(*r, "license") for r in DIGESTS], "license string, digest string, key string"))
     return df.groupBy("digest").agg(F.min("license").alias("license"), F.min("key").alias("key"))
 
 
@@ -116,17 +159,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _form_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{_COPYRIGHT}', ' ', 'g')"
-    out = f"' ' || regexp_replace({out}, '{_MARKS}', ' ', 'g') || ' '"
-    for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+    """Line by line and word by word, apart from the Column expressions."""
+    states = "regexp_matches(l, '^[^a-z0-9]*copyright[ \\t]*([(]c[)]|©)') OR regexp_matches(l, '^[^a-z0-9]*(copyright( notice)?\\b|[(]c[)]|©).*[0-9]{4}')"
+    lines = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda l: NOT ({states})), chr(10))"
+    words = f"list_filter(string_split_regex({lines}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    single = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS if " " not in old)
+    one = f"array_to_string(list_transform({words}, lambda w: CASE w {single} ELSE w END), '  ')"
+    return f"trim(replace(replace(' ' || {one} || ' ', ' per  cent ', ' percent '), '  ', ' '))"
 
 
 SQL = f"""
 WITH known AS (
-  SELECT sha256(form) AS digest, min(license) AS license
-  FROM (SELECT license, {_form_sql("text")} AS form FROM (VALUES {", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN)}) AS v(license, text)) WHERE form <> '' GROUP BY 1
+  SELECT digest, min(license) AS license FROM (
+    SELECT sha256(form) AS digest, license
+    FROM (SELECT license, {_form_sql("text")} AS form FROM (VALUES {", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN)}) AS v(license, text)) WHERE form <> ''
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{name}')" for name, d in DIGESTS)}) AS d(digest, license)) GROUP BY 1
 ), whole AS (
   SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM (SELECT doc_id, {_form_sql("text")} AS form FROM documents)
 ), lines AS (

@@ -1,4 +1,7 @@
+import duckdb
+
 from loquat.llm import url_filter as U
+from loquat.llm.common import Stage
 
 
 def plain(url, rules):
@@ -30,11 +33,36 @@ def test_rules(spark):
 
 
 def test_bloom_never_misses_and_rarely_errs(spark):
-    keys = spark.range(4000).selectExpr("concat('host', id, '/p') as key")
-    bloom = U.BlockedBloom(keys, "key", 4000)
+    keys = spark.range(4000).selectExpr("concat('host', id, '/p') as key", "id as block", "id as words")
+    bloom = U.BlockedBloom(keys, "key", 4000, Stage(spark, "bloom-test"))
     other = spark.range(4000).selectExpr("concat('other', id, '/p') as key")
-    assert keys.filter(bloom.may_hold(keys.key)).count() == 4000
-    assert other.filter(bloom.may_hold(other.key)).count() < 200
+    assert bloom.possible(keys, "key").count() == 4000
+    assert bloom.possible(other, "key").count() < 200
+
+
+def test_canonical_and_listed(spark):
+    same = ["http://A.com:80/x/?b=2&a=1#t", "https://user@a.com./x?a=1&utm_source=q&b=2", "x://a.com/x/index.html?b=2&a=1"]
+    other = ["http://a.com/x?a=1", "http://a.com/X?a=1&b=2", "http://b.a.com/x?a=1&b=2", "http://a.com:81/x?a=1&b=2"]
+    rows = [(k, u) for k, u in enumerate([*same, *other, None, "://", "http://a.com/en/x"])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, key int, verdict int")
+    listed = spark.createDataFrame([("a.com/x?a=1&b=2",), ("a.com/en/x",), ("",), (None,)], "url string")
+    rules = spark.createDataFrame([("com/en/", "allow")], "rule string, verdict string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(df, rules, listed=listed).collect()}
+    assert got == {k: "block" if k < len(same) else "allow" for k, _ in rows}
+
+
+def test_sql_agrees(spark):
+    extra = ["http://" + u for u in U.LISTED] + ["https://" + u + "/?utm_source=1#z" for u in U.LISTED if "?" not in u] + ["http://u@spam-farm.example.org:80", "http://a.com/?", "http://a.com/x?b&a=1&&ref=2?c#d?e"]
+    rows = [(i, u) for i, u in enumerate(URLS + extra)]
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", rows)
+    want = sorted(con.execute(f"select page_id, host, path, rule, verdict from ({U.SQL})").fetchall())
+    listed = spark.createDataFrame([(u,) for u in U.LISTED], "url string")
+    df, rules = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(U.RULES, "rule string, verdict string")
+    got = U.judge_urls(df, rules, listed=listed).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(r[4] == "block" and r[3] is None for r in want) == 8
 
 
 def test_empty(spark):
