@@ -26,7 +26,7 @@ def corpus():
 
 def test_templates_go_and_copies_stay(spark):
     docs = corpus()
-    df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n_lines int, leaf string").drop("n_lines")
+    df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n_lines int, leaf string")
     out = {r.doc_id: r for r in L.drop_templates(df).collect()}
     assert len(out) == len(docs) and out[300].text is None and out[300].n_lines == 0 and out[301].n_lines == 1 and out[303].text == ""
     for i, text in docs:
@@ -66,13 +66,37 @@ def test_runs_of_lines_and_hot_copies(spark):
     docs += [(100 + i, own() + "\n" + line + "\n" + own()) for i in range(12)]
     docs += [(200 + i, "\n".join([*body[:5], line, *body[5:], say(8)])) for i in range(60)]  # near copies that hold the line
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    out = {r.doc_id: r for r in L.drop_templates(df, runs=True).collect()}
+    out = {r.doc_id: r for r in L.drop_templates(df).collect()}
     for i, text in docs:
         want = [x for x in text.split("\n") if x != line and (not x or x not in footer)]
         assert out[i].text == "\n".join(want), i
 
 
-def test_runs_drop_all_that_the_sql_rule_drops(spark):
-    df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    plain, runs = ({r.doc_id: r.text for r in L.drop_templates(df, runs=k).collect()} for k in (False, True))
-    assert plain == runs
+def test_short_lines_need_more_documents(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(k))
+    own = lambda: "\n".join(say(rng.randint(6, 14)) for _ in range(6))
+    short = {"All rights reserved.": 15, "Terms of our use": 10, "Page 7": 20, "Menu": 25, "Too few here": 14, "Once": 24, "日本語の一行です。": 30}
+    docs = []
+    for line, n in short.items():
+        docs += [(len(docs) + k, own() + f"\n{line}\n" + own()) for k in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in L.drop_templates(df).collect()}
+    for i, text in docs:
+        want = [x for x in text.split("\n") if x not in short or x in ("Too few here", "Once")]
+        assert out[i] == "\n".join(want), i
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    kept = L.drop_templates(df).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256))
+    assert sorted(map(tuple, kept.collect())) == sorted(con.execute(L.SQL).fetchall())
+
+
+def test_columns_with_the_names_of_the_operator(spark):
+    names = ["_row", "_text", "_kept", "_gone", "_gone_digest", "_digest", "n_lines", "n_dropped", "leaf", "form", "template", "a.b"]
+    docs = corpus()
+    df = spark.createDataFrame([(f"x{i}", t, *range(len(names))) for i, t in docs], "doc_id string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = L.drop_templates(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    plain = {f"x{r.doc_id}": (r.text, r.n_dropped) for r in L.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {r.doc_id: (r.text, r.n_dropped) for r in out.collect()} == plain and out.first()["a.b"] == 11
