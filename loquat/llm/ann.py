@@ -17,8 +17,8 @@ Queries go to every shard in blocks, each shard returns its k best, and the best
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do those
 of another length than most (the smaller of equals), nor rows without id; ties go to the smaller id; rows that
-repeat an id are each a candidate of others; with fewer than k candidates all are returned; an empty table gives
-no row.
+repeat an id are each a candidate of others; with fewer than k candidates all are returned; ids are whole numbers; other
+columns are ignored, whatever their names; there is no text; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -1,8 +1,7 @@
 """Shared plumbing of the training-data operators: tables, staging and hash kernels.
 
-Everything that outlives a job goes to the folder that the cluster names in
-``spark.checkpoint.dir``; nothing is kept in a machine-local folder unless that
-setting is missing (single-machine tests).
+Everything that outlives a job goes to the folder that the cluster names in ``spark.checkpoint.dir``. Only a session
+on a single machine (a local master) may leave it unset, and then gets a temporary one.
 """
 
 from __future__ import annotations
@@ -31,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where the session names none."""
+    """The folder that driver and executors share; set to a temporary one only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loquat-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -75,6 +76,25 @@ def join_few(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return df.join(side, key)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, stage: Stage, nulls_first: bool = True) -> DataFrame:
+    """(_doc, _row): each row with a long that names its document.
+
+    That is the id, if ids are whole numbers of which none is missing or repeats. Else it counts the distinct pairs of
+    id and text in the order of the id, then of a digest of the text; so rows that are equal in both are one document.
+    """
+    key = F.col(f"`{id_col}`")
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and not docs.groupBy(key.alias("id")).count().filter("count > 1 or id is null").limit(1).count():
+        return docs.select(key.cast("long").alias("_doc"), F.struct("*").alias("_row"))
+    digest = F.xxhash64(F.col(f"`{text_col}`"))
+    order = [F.col("id").isNotNull() if nulls_first else F.col("id").isNull(), F.col("id"), F.col("digest")]
+    keys = docs.select(key.alias("id"), digest.alias("digest")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = stage.write(keys.withColumn("_doc", F.monotonically_increasing_id()), "keys")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("own_id"), digest.alias("own_digest"))
+    rows = rows.join(keys, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
+    return stage.write(rows.select("_doc", "_row"), "numbered")
+
+
 # ---- text in Arrow batches ------------------------------------------------
 
 

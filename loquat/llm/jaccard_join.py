@@ -20,7 +20,9 @@ shingles of ``size`` words (its whole sequence as one, if it has fewer). Two doc
 
 Defined cases: documents without words have size 0 and are their own component; null text is empty; rows
 with a null id get their size and a null component; rows that repeat an id count as one document if their
-texts are equal, and the smallest id of the component is theirs anyway; an empty table gives no row.
+texts are equal, and the smallest id of the component is theirs anyway; ids of another type than whole numbers are
+numbered in their order; a very long text is one row's work, its set being built and compared by one task; columns
+other than id and text are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Stage, add_blocks, as_long, batch, bounded, byte_classes, chunks, mix, pack_blocks, shingle_sets, table, word_hashes
+from .common import U64, Stage, add_blocks, as_long, batch, bounded, byte_classes, chunks, mix, numbered, pack_blocks, shingle_sets, table, word_hashes
 from .graph import connected_components
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -145,14 +147,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        rows = numbered(docs, "doc_id", "text", stage, nulls_first=False)
+        linked = link_documents(rows.select("_doc", "_row.text"), "_doc", "text", size, num, den).distinct()
+        names = rows.filter("_row.doc_id is not null").select(F.col("_doc").alias("component_id"), F.col("_row.doc_id").alias("component")).distinct()
+        linked = linked.join(names, "component_id", "left").select(F.col("doc_id").alias("_doc"), "n_shingles", "component")
+        out = rows.join(linked, "_doc").select("_row.doc_id", "n_shingles", F.col("component").alias("component_id"))
+        return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n long, cls long, sketch binary, block int, counts binary"
     profile = stage.write(docs.mapInArrow(lambda it: _profile(it, size), schema), "profile")
     rows = profile.filter("block is null").select("doc_id", "n", "cls", "sketch")
     classes = stage.write(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     counts = add_blocks(profile.filter("block is not null").select("block", "counts"), FREQ_BLOCKS, 1 << FREQ_BITS)
-    rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1).astype(np.uint32))
+    rank = spark.sparkContext.broadcast((np.log2(counts + 1.0) * (1 << 18)).astype(np.uint32))  # 24 bits for any count
 
     n, pos = (lambda at: F.shiftright(at, 32)), (lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
     prefixes = stage.write(docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(it, size, num, den, rank), "tok long, cls long, at long"), "prefixes")

@@ -11,21 +11,26 @@
    are divided.
 4. One more pass scores every whole text.
 
-Defined cases: null and empty texts have zero features and get a score like any other; labels other than 0 and
-1 and labels of unknown documents are ignored, as are second labels of an id; with no label of one of the two
-kinds, each score is the share of label 1 (0.5 with no label at all); an empty table gives no row.
+Defined cases: null and empty texts have zero features and get a score like any other; a very long text is one row's
+work; equal texts have equal scores, so there are no ties to break; rows that repeat, or have no id, are each scored; of
+rows that share a labelled id one is learned from (the smallest by its features); ids are of any type; labels other than
+0 and 1 and labels of unknown documents are ignored, and of several labels of an id the smaller counts; with no label
+of one of the two kinds, each score is the share of label 1 (0.5 with no label at all); an empty table gives no row;
+other columns are passed on, whatever their names, but for ``score``, which the result's replaces.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, Stage, add_blocks, byte_classes, chunks, mix, pack_blocks, table, word_hashes
+from .common import U64, Stage, add_blocks, batch, byte_classes, chunks, mix, pack_blocks, table, word_hashes
 
 ROW_BITS, DIMS = 15, 32
 BLOCKS = 64
@@ -71,7 +76,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, pooling weights) of the hashed rows, from all documents."""
-    parts = docs.select(F.col(text_col)).mapInArrow(_neighbours, "block int, sums binary")
+    parts = docs.select(F.col(f"`{text_col}`")).mapInArrow(_neighbours, "block int, sums binary")
     sums = add_blocks(parts, BLOCKS, (DIMS + 1) << ROW_BITS).astype(np.float64)
     vectors, often = sums[: DIMS << ROW_BITS].reshape(-1, DIMS), sums[DIMS << ROW_BITS :]
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
@@ -168,12 +173,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(self._scaled(x)) / self.temperature, -500, 500)))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, keep: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     vectors, weights, network = model.value
     for rows in batches:
         for lo, hi, raw, off in chunks(rows.column(0), 1 << 18):
             score = network.score(pooled(raw, off, vectors, weights))
-            yield pa.RecordBatch.from_arrays([*(rows.column(k).slice(lo, hi - lo) for k in range(1, keep + 1)), pa.array(score)], names=[*rows.schema.names[1:], "score"])
+            yield batch(_row=rows.column(1).slice(lo, hi - lo), _score=pa.array(score))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -181,35 +186,47 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The columns ``keep`` (by default the id) of every document, and its score from 0 to 1."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int) -> tuple[np.ndarray, np.ndarray, Network]:
+    """(word vectors, pooling weights, network)."""
     spark = docs.sparkSession
     stage = Stage(spark, "quality")
     vectors, weights = word_vectors(docs, text_col)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out("doc_id"))
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     share = min(1.0, train_rows / max(total, 1))
     known = stage.write(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), "labels")  # about train_rows rows, so it may be broadcast
     model = spark.sparkContext.broadcast((vectors, weights))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "doc_id", "quality")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id").select("text", "doc_id", "quality")
     kind = docs.schema[id_col].dataType.simpleString()
-    learned = stage.write(rows.mapInArrow(lambda it: _features(it, model), f"doc_id {kind}, quality int, x binary"), "features")
-    seen = sorted({(str(r.doc_id), r.x): r for r in learned.collect()}.values(), key=lambda r: (hash_order(r.doc_id), r.x))
+    features = rows.mapInArrow(lambda it: _features(it, model), f"doc_id {kind}, quality int, x binary")
+    # one row a labelled id, however often it stands in the table: about train_rows of them come to the driver
+    learned = stage.write(features.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.x", "r.quality"), "features")
+    seen = sorted(learned.collect(), key=lambda r: (hash_order(r.doc_id), r.x))
     x = np.array([np.frombuffer(r.x, np.float32) for r in seen], np.float32).reshape(-1, 3 * DIMS + 1)
-    network = Network(x, np.array([r.quality for r in seen], np.float64))
     stage.drop("labels", "features")
-    full = spark.sparkContext.broadcast((vectors, weights, network))
-    keep = keep or (id_col,)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lambda it: _scored(it, full, len(keep)), schema)
+    return vectors, weights, Network(x, np.array([r.quality for r in seen], np.float64))
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(_row: the row of ``docs``, _score: from 0 to 1)."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, train_rows))
+    rows = docs.select(F.col(f"`{text_col}`").alias("_text"), F.struct("*").alias("_row"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(lambda it: _scored(it, model), schema)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The columns of every document, and ``score``."""
+    scored = scored_rows(docs, labels, id_col, text_col, label_col, train_rows)
+    return scored.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != "score"), F.col("_score").alias("score"))
 
 
 def hash_order(doc_id) -> int:
     """A fixed shuffle of ids, so that batches and the calibration rows don't follow their order."""
-    return int(mix(np.array([int(doc_id) & (1 << 64) - 1], np.uint64))[0])
+    return int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest(), "little")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

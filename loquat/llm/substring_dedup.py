@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE_VALUES, U64, Stage, as_long, batch, bounded, chunks, join_few, mix, powers, table
+from .common import _BASE, _BYTE_VALUES, U64, Stage, as_long, batch, bounded, chunks, join_few, mix, numbered, powers, table
 
 LENGTH = 100
 GRAM = 50
@@ -471,14 +471,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stage = Stage(spark, "substrings")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-    if not whole or docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
-        keys = docs.select("doc_id", F.xxhash64("text").alias("digest")).distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-        keys = stage.write(keys.withColumn("doc", F.monotonically_increasing_id()), "keys")
-        docs = docs.withColumn("digest", F.xxhash64("text")).join(keys.withColumnRenamed("doc_id", "key").withColumnRenamed("digest", "key_digest"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("key_digest"))).select("doc", "doc_id", "text")
-        docs = stage.write(docs, "docs")
-    else:
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text")
+    docs = numbered(docs, "doc_id", "text", stage).select(F.col("_doc").alias("doc"), "_row.doc_id", "_row.text")
 
     body = docs.filter(F.octet_length("text") >= length).select("doc", "text")
     anchored = body.mapInArrow(lambda it: _anchored(it, length, gram), "h long, ctx long, doc long, span long")

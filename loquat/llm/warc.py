@@ -6,15 +6,17 @@ two line ends, which the text writer adds, so the archive is written by the exec
 
 Reading: files are split wherever Spark splits them. The reader cuts at the record magic, so a task gives, for
 each place with the magic, a candidate record: where it starts and, from its own header, where its successor must
-start. The magic may also stand inside a payload. Offsets in the file follow from the lengths of the pieces. From
-the start of each file, candidates that follow one another are contracted to runs, and pointer jumping over runs
-(the reach doubles each round) keeps the records that the chain reaches. Payloads that hold the magic are put
-together from their pieces; only files with such payloads are read again for that.
+start. The magic may also stand inside a payload. Offsets follow from the lengths of the pieces within their split, and
+from the lengths of the splits before it; so a file of any size is work for as many tasks as it has splits. Candidates
+of a split that follow one another are contracted to runs, and pointer jumping over the runs of all splits (the reach
+doubles each round), from the start of each file, keeps the records that the chain reaches. Payloads that hold the
+magic are put together from their pieces; only files with such payloads are read again for that.
 
 Defined cases: a null payload is empty; a null id is written empty and read as null, never referred to, and the
 row revisits an equal payload if a row with an id has it; rows that repeat a smallest id are all responses; line
 ends in a URL are written as %0D and %0A; other header fields of a record, and files without records, are no
-error; an empty table writes an archive without records. A truncated last record is dropped.
+error; a very long payload is one row's work; columns other than id, URL and payload are ignored, whatever their names;
+ids are whole numbers; an empty table writes an archive without records. A truncated last record is dropped.
 """
 
 from __future__ import annotations
@@ -73,8 +75,13 @@ def _pieces(spark: SparkSession, path: str, files: DataFrame | None = None) -> D
 
 def _offsets(pieces: DataFrame) -> DataFrame:
     """With the byte at which the magic of each piece stands (before the first magic of a file: -1 or less)."""
-    before = F.sum(F.col("size") + len(MAGIC)).over(W.partitionBy("file").orderBy("block", "place").rowsBetween(W.unboundedPreceding, -1))
-    return pieces.withColumn("start", F.coalesce(before, F.lit(0)) - len(MAGIC)).drop("block", "place")
+    length = F.col("size") + len(MAGIC)
+    splits = pieces.groupBy("file", "block").agg(F.sum(length).alias("total"))
+    before = F.sum("total").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each split
+    splits = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    within = F.sum(length).over(W.partitionBy("file", "block").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    placed = pieces.withColumn("within", F.coalesce(within, F.lit(0))).join(splits, ["file", "block"])
+    return placed.withColumn("start", F.col("base") + F.col("within") - len(MAGIC)).drop("place", "base", "within")
 
 
 def _field(header: Column, name: str) -> Column:
@@ -83,16 +90,19 @@ def _field(header: Column, name: str) -> Column:
 
 
 def reachable(candidates: DataFrame, stage: Stage) -> DataFrame:
-    """Of candidates (file, start, succ, ...) those that the chain from the start of their file reaches."""
-    by_start = W.partitionBy("file").orderBy("start")
+    """Of candidates (file, block, start, succ, ...) those that the chain from the start of their file reaches."""
+    by_start = W.partitionBy("file", "block").orderBy("start")
     order = candidates.withColumns({"follows": F.coalesce(F.lag("succ").over(by_start) == F.col("start"), F.lit(False)), "next": F.lead("start").over(by_start)})
     order = stage.write(order, "candidates")
-    jumps = order.filter("succ <> next").select("file", F.col("succ").alias("start")).distinct().withColumn("target", F.lit(True))
-    heads = order.join(jumps, ["file", "start"], "left").withColumn("head", ~F.col("follows") | F.col("target").isNotNull())
-    runs = stage.write(heads.withColumn("run", F.sum(F.col("head").cast("int")).over(by_start)).drop("follows", "next", "target", "head"), "runs")
-    graph = runs.groupBy("file", "run").agg(F.min("start").alias("first"), F.max_by("succ", "start").alias("succ"))
-    ends = graph.select("file", F.col("first").alias("succ"), F.col("run").alias("next"))
-    graph = stage.write(graph.join(ends, ["file", "succ"], "left").select("file", "run", "next", (F.col("first") == 0).alias("reached")), "graph-0")
+    # where a chain goes on elsewhere than with the next candidate of the split, a run begins
+    jumps = stage.write(order.filter("next is null or succ <> next").select("file", F.col("succ").alias("start")).distinct(), "jumps")
+    heads = order.join(bounded(jumps.withColumn("target", F.lit(True))), ["file", "start"], "left").withColumn("head", F.when(~F.col("follows") | F.col("target").isNotNull(), F.col("start")))
+    runs = heads.withColumn("run", F.last("head", ignorenulls=True).over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    runs = stage.write(runs.drop("follows", "next", "target", "head"), "runs")
+    # a run is named by its start; ``next`` is the run at which it ends, if there is one
+    graph = runs.groupBy("file", "run").agg(F.max_by("succ", "start").alias("succ"))
+    ends = graph.select("file", F.col("run").alias("succ"), F.col("run").alias("next"))
+    graph = stage.write(graph.join(ends, ["file", "succ"], "left").select("file", "run", "next", (F.col("run") == 0).alias("reached")), "graph-0")
     k = 0
     while True:
         marked = graph.filter("reached and next is not null").select("file", F.col("next").alias("run")).distinct().withColumn("marked", F.lit(True))
@@ -103,7 +113,8 @@ def reachable(candidates: DataFrame, stage: Stage) -> DataFrame:
         k += 1
         graph = stage.write(after.select("file", "run", F.col("beyond").alias("next"), (F.col("reached") | F.col("marked").isNotNull()).alias("reached")), f"graph-{k}")
         stage.drop(f"graph-{k - 1}")
-    return runs.join(graph.filter("reached").select("file", "run"), ["file", "run"], "left_semi").drop("run")
+    reached = graph.filter("reached").select("file", "run")
+    return runs.join(bounded(reached), ["file", "run"], "left_semi").drop("run")
 
 
 def read_archive(spark: SparkSession, path: str, stage: Stage) -> DataFrame:
@@ -129,7 +140,7 @@ def read_archive(spark: SparkSession, path: str, stage: Stage) -> DataFrame:
     candidates = known.filter("bytes is not null and bytes >= 0").withColumn("succ", F.col("start") + len(MAGIC) + F.col("at") + F.col("bytes") + len(END))
     # a record that ends beyond its file is cut off
     ends = stage.write(known.groupBy("file").agg(F.max(F.col("start") + len(MAGIC) + F.col("size")).alias("end")), "ends")
-    records = stage.write(reachable(candidates.join(ends, "file").filter("succ <= end").drop("end"), stage), "records")
+    records = stage.write(reachable(candidates.join(bounded(ends), "file").filter("succ <= end").drop("end"), stage), "records")
     columns = ["file", "start", F.when(F.col("id") != "", F.col("id")).cast("long").alias("id"), "type", "url", F.when(F.col("refers") != "", F.col("refers")).cast("long").alias("refers_to"), "stated_digest", "stated_bytes", "bytes"]
     done = records.filter("digest is not null").select(*columns, "digest")
     spread = records.filter("digest is null")
@@ -140,7 +151,13 @@ def read_archive(spark: SparkSession, path: str, stage: Stage) -> DataFrame:
     again = _pieces(spark, path, files).withColumn("size", F.octet_length("value").cast("long"))
     owner = records.select("file", F.col("start").alias("owner"))
     own = _offsets(again).filter("start >= 0").join(owner.withColumnRenamed("owner", "start").withColumn("owner", F.col("start")), ["file", "start"], "left")
-    own = own.withColumn("owner", F.last("owner", ignorenulls=True).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)))
+    own = stage.write(own, "parts")
+    # the record that a piece belongs to begins in its split, or is the last one to begin in the splits before
+    splits = own.groupBy("file", "block").agg(F.max("owner").alias("last"))
+    earlier = F.max("last").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("file", "block", earlier.alias("earlier"))
+    own = own.withColumn("owner", F.last("owner", ignorenulls=True).over(W.partitionBy("file", "block").orderBy("start").rowsBetween(W.unboundedPreceding, 0)))
+    own = own.join(splits, ["file", "block"]).withColumn("owner", F.coalesce("owner", "earlier")).drop("earlier")
     wanted = spread.select("file", F.col("start").alias("owner"))
     parts = own.join(wanted, ["file", "owner"], "left_semi")
     glued = parts.groupBy("file", F.col("owner").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), MAGIC).alias("text"))
