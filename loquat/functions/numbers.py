@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bind import nth
+from .bind import lit, nth
 
 # The digits and the scale words.
 DIGITS = ["không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín"]
@@ -52,13 +52,13 @@ def _whole(digits: Column) -> Column:
     padded = F.lpad(digits, groups * 3, "0")
 
     def say(k: Column) -> Column:
-        value = F.substring(padded, k * 3 + 1, F.lit(3)).cast("int")
+        value = F.substring(padded, k * 3 + 1, lit(3)).cast("int")
         rank = groups - 1 - k
         words = F.when(k == 0, nth(_LEADING, value)).otherwise(nth(_INNER, value))
-        scale = F.concat(nth(["-", *SCALES[1:]], rank % 3), F.repeat(F.lit(" tỷ"), F.floor(rank / 3).cast("int")))
-        return F.when(value > 0, F.concat(words, F.when(rank % 3 == 0, F.repeat(F.lit(" tỷ"), F.floor(rank / 3).cast("int"))).otherwise(scale)))
+        scale = F.concat(nth(["-", *SCALES[1:]], rank % 3), F.repeat(lit(" tỷ"), F.floor(rank / 3).cast("int")))
+        return F.when(value > 0, F.concat(words, F.when(rank % 3 == 0, F.repeat(lit(" tỷ"), F.floor(rank / 3).cast("int"))).otherwise(scale)))
 
-    many = F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), say), " ")  # null groups are left out
+    many = F.array_join(F.transform(F.sequence(lit(0), groups - 1), say), " ")  # null groups are left out
     return F.when(F.length(digits) <= 3, nth(_LEADING, digits.cast("int"))).otherwise(many)
 
 
@@ -69,8 +69,8 @@ def n2w(number: Column) -> Column:
     two = digits.rlike("^0[0-9]$")
     return (
         F.when(~is_digits(digits), number)
-        .when(two, F.concat(F.lit(f"{DIGITS[0]} "), nth(DIGITS, F.substring(digits, 2, 1).cast("int"))))
-        .when(bare == "", F.lit(DIGITS[0]))
+        .when(two, F.concat(lit(f"{DIGITS[0]} "), nth(DIGITS, F.substring(digits, 2, 1).cast("int"))))
+        .when(bare == "", lit(DIGITS[0]))
         .otherwise(_whole(bare))
     )
 
@@ -79,7 +79,7 @@ def each_digit(digits: Column) -> Column:
     """Digit by digit."""
     out = digits
     for k, word in enumerate(DIGITS):
-        out = F.replace(out, F.lit(str(k)), F.lit(f"{word} "))
+        out = F.replace(out, lit(str(k)), lit(f"{word} "))
     return F.rtrim(out)
 
 
@@ -93,31 +93,31 @@ def n2w_single(number: Column) -> Column:
 def n2w_decimal(digits: Column) -> Column:
     """Decimals digit by digit; a last 5 after another digit than 0 is "lăm"."""
     clean = stripped(digits)
-    return F.when(clean.rlike("[1-9]5$"), F.concat(each_digit(F.regexp_replace(clean, "5$", "")), F.lit(" lăm"))).when(clean == "", digits).otherwise(each_digit(clean))
+    return F.when(clean.rlike("[1-9]5$"), F.concat(each_digit(F.regexp_replace(clean, "5$", "")), lit(" lăm"))).when(clean == "", digits).otherwise(each_digit(clean))
 
 
 def _pointed(whole: Column, decimals: Column, point: str) -> Column:
     """Decimals without the zeros at their end."""
-    cut = F.rtrim(decimals, F.lit("0"))
-    return F.when(cut == "", n2w(whole)).otherwise(F.concat(n2w(whole), F.lit(f" {point} "), n2w_decimal(cut)))
+    cut = F.rtrim(decimals, lit("0"))
+    return F.when(cut == "", n2w(whole)).otherwise(F.concat(n2w(whole), lit(f" {point} "), n2w_decimal(cut)))
 
 
 def _part(text: Column, mark: str, k: int) -> Column:
-    return F.get(F.split(text, f"\\{mark}", -1), F.lit(k))
+    return F.get(F.split(text, f"\\{mark}", -1), lit(k))
 
 
 def _grouped(number: Column, mark: str, point: str) -> Column:
     """One kind of mark: thousands if there are several or three digits follow it."""
-    marks = F.length(number) - F.length(F.replace(number, F.lit(mark), F.lit("")))
+    marks = F.length(number) - F.length(F.replace(number, lit(mark), lit("")))
     second = _part(number, mark, 1)
     thousands = (marks > 1) | (F.length(second) == 3)
-    return F.when(thousands, n2w(F.replace(number, F.lit(mark), F.lit("")))).otherwise(_pointed(_part(number, mark, 0), second, point))
+    return F.when(thousands, n2w(F.replace(number, lit(mark), lit("")))).otherwise(_pointed(_part(number, mark, 0), second, point))
 
 
 def quantity(number: Column) -> Column:
     """A number before a unit, currency or percent sign."""
     comma, dot = number.contains(","), number.contains(".")
-    english, local = F.replace(number, F.lit(","), F.lit("")), F.replace(number, F.lit("."), F.lit(""))
+    english, local = F.replace(number, lit(","), lit("")), F.replace(number, lit("."), lit(""))
     dot_last = number.rlike(r"\.[^,]*$")
     mixed = F.when(dot_last, _pointed(_part(english, ".", 0), _part(english, ".", 1), "phẩy")).otherwise(_pointed(_part(local, ",", 0), _part(local, ",", 1), "phẩy"))
     return F.when(comma & dot, mixed).when(comma, _grouped(number, ",", "phẩy")).when(dot, _grouped(number, ".", "chấm")).otherwise(n2w(number))
@@ -126,25 +126,25 @@ def quantity(number: Column) -> Column:
 def power(exponent: Column) -> Column:
     sign = F.regexp_extract(exponent, "^([-+]?)", 1)
     digits = n2w(F.regexp_replace(exponent, r"^[-+]", ""))
-    return F.when(sign == "-", F.concat(F.lit("trừ "), digits)).otherwise(digits)
+    return F.when(sign == "-", F.concat(lit("trừ "), digits)).otherwise(digits)
 
 
 def scientific(base: Column, exponent: Column) -> Column:
     """3.2e5: the base with its point, then the power of ten."""
     said = F.when(base.contains("."), _pointed(_part(base, ".", 0), _part(base, ".", 1), "chấm")).when(base.contains(","), _pointed(_part(base, ",", 0), _part(base, ",", 1), "phẩy")).otherwise(n2w(base))
-    return F.concat(said, F.lit(" nhân mười mũ "), power(exponent))
+    return F.concat(said, lit(" nhân mười mũ "), power(exponent))
 
 
 def plain_number(number: Column, negative: Column) -> Column:
     """A number in running text; zeros at its end are said."""
-    sign = F.when(negative, F.lit("âm ")).otherwise(F.lit(""))
+    sign = F.when(negative, lit("âm ")).otherwise(lit(""))
     grouped = number.rlike(r"^[0-9]+(\.[0-9]{3})+$")
-    tight = F.replace(number, F.lit(" "), F.lit(""))
-    whole = F.when(grouped, F.replace(tight, F.lit("."), F.lit(""))).otherwise(tight)
-    pointed = F.concat(n2w(_part(tight, ".", 0)), F.lit(" chấm "), n2w_decimal(_part(tight, ".", 1)))
-    comma = F.concat(n2w(_part(whole, ",", 0)), F.lit(" phẩy "), n2w_decimal(_part(whole, ",", 1)))
+    tight = F.replace(number, lit(" "), lit(""))
+    whole = F.when(grouped, F.replace(tight, lit("."), lit(""))).otherwise(tight)
+    pointed = F.concat(n2w(_part(tight, ".", 0)), lit(" chấm "), n2w_decimal(_part(tight, ".", 1)))
+    comma = F.concat(n2w(_part(whole, ",", 0)), lit(" phẩy "), n2w_decimal(_part(whole, ",", 1)))
     return F.concat(sign, F.when(number.contains(".") & ~grouped, pointed).when(whole.contains(","), comma).otherwise(n2w(whole)))
 
 
 def money(amount: Column, currency: str) -> Column:
-    return F.concat(quantity(amount), F.lit(f" {currency}"))
+    return F.concat(quantity(amount), lit(f" {currency}"))

@@ -1,16 +1,25 @@
-"""Normalised text to phonemes: tokens, lexicon join, language of shared words, segmentation of unknown words.
+"""Normalised text to phonemes: tokens, lexicon, language of shared words, segmentation of unknown words.
 
-The plan: texts are exploded to tokens; the lexicon is joined on the lower-case word (broadcast if counted to be
-small); distinct unknown words are segmented once and joined back; windows over a text's tokens choose the language
-of words that both languages have; one aggregate by text puts the phonemes together. Tokens, windows and aggregate
-share one exchange by text.
+The plan: tokens are made in the row by Column expressions; one pass in Arrow batches looks words up in the lexicon,
+which every worker holds, segments unknown ones (each once a worker), decides the language of words that both languages
+have and puts the text together. Nothing is shuffled, and each input row gives one row, so it runs on streams too.
+
+A lexicon is only sent to the workers if it is counted to be small (``HELD_WORDS`` words, ``HELD_BYTES`` bytes). A larger
+one is joined: distinct texts are exploded to tokens, windows over a text's tokens choose the languages, and one aggregate
+puts the texts together. Both ways give the same.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loquat.functions.bind import let, lookup
 from loquat.functions.resources import VIETNAMESE
@@ -22,8 +31,8 @@ INNER = rf"(?Ud){WORD}|[^\w\s]"
 STOPS = ".!?;:()[]{}"
 _UNACCENTED = "aeiou"
 _VOWELS = _UNACCENTED + VIETNAMESE.replace("đ", "")
-#: A lexicon of at most this many words is broadcast; a larger one is joined by exchange.
-BROADCAST_WORDS = 500_000
+#: A lexicon of at most this many words and bytes is held by every worker; a larger one is joined by exchange.
+HELD_WORDS, HELD_BYTES = 500_000, 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -34,10 +43,6 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(t.rlike("(?is)^<en>.*</en>$"), inner(t)).otherwise(one(t))))
 
 
-def _sized(lexicon: DataFrame) -> DataFrame:
-    return F.broadcast(lexicon) if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else lexicon
-
-
 def _in_language(lang: Column, vi: Column, en: Column) -> Column:
     """The pronunciation of a word of both languages; an empty one gives way to the other."""
     return F.when((lang == "en") & (en != ""), en).when(vi != "", vi).otherwise(en)
@@ -113,14 +118,14 @@ def _languages(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("lang", F.when(shared, decided).otherwise(F.col("lang")))
 
 
-def phonemize(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "id", out_col: str = "phonemes") -> DataFrame:
-    """(id, phonemes) for each distinct row of id and text; null and empty texts give ''."""
-    lexicon = overlay(lexicon)
-    sized = _sized(lexicon)
-    key = ["_id", "_text"]
-    texts = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode_outer(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "token")).distinct()
-    rows = texts.select("_id", "_text", "pos", "token.word", "token.tagged").withColumn("low", F.lower("word"))
-    rows = rows.join(sized.withColumnRenamed("word", "low"), "low", "left")
+def _joined(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str, out_col: str) -> DataFrame:
+    """Phonemes by joins with the lexicon, for each distinct text once."""
+    key = ["_a", "_b"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumns({"_a": F.xxhash64("_text"), "_b": F.xxhash64("_text", F.lit(1))})
+    texts = keyed.dropDuplicates(key).select(*key, F.posexplode_outer(tokens(F.col("_text"))).alias("pos", "token"))
+    rows = texts.select(*key, "pos", "token.word", "token.tagged").withColumn("low", F.lower("word"))
+    rows = rows.join(lexicon.withColumnRenamed("word", "low"), "low", "left")
     merged, common = F.col("kind") == "merged", F.col("kind") == "common"
     punct = ~F.col("word").rlike(r"(?U)\w")
     accent = F.col("low").rlike(f"[{VIETNAMESE}]")
@@ -130,11 +135,144 @@ def phonemize(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col:
     phone = F.when(punct, F.col("word")).when(merged, F.trim("phone")).when(common & F.col("tagged") & (F.col("en_phone") != ""), F.trim("en_phone"))
     rows = rows.select(*key, "pos", "word", "low", lang.alias("lang"), phone.alias("phone"), "vi_phone", "en_phone")
     unknown = (F.col("phone").isNull()) & F.col("lang").isin("vi", "en")
-    spelled = segment(rows.filter(unknown).select(F.col("low").alias("word"), "lang").distinct(), sized)
+    spelled = segment(rows.filter(unknown).select(F.col("low").alias("word"), "lang").distinct(), lexicon)
     spelled = spelled.select(F.col("word").alias("low"), "lang", F.col("phone").alias("spelled"))
     rows = rows.join(spelled, ["low", "lang"], "left")
     rows = _languages(rows.withColumn("known", F.coalesce("phone", "spelled")), key)
     said = F.trim(F.coalesce("known", F.when(F.col("lang") == "en", F.col("en_phone")).otherwise(F.col("vi_phone"))))
     joined = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", said.alias("said"))))).alias("said"))
-    text = F.array_join(F.transform("said", lambda x: x["said"]), " ")
-    return joined.select(F.col("_id").alias(id_col), F.regexp_replace(text, " ([.,!?;:])", "$1").alias(out_col))
+    spoken = F.regexp_replace(F.array_join(F.transform("said", lambda x: x["said"]), " "), " ([.,!?;:])", "$1")
+    return keyed.join(joined.select(*key, spoken.alias("_said")), key).select(F.col("_id").alias(id_col), F.col("_said").alias(out_col))
+
+
+# ---- the lexicon in the workers -------------------------------------------
+
+
+def _is_word(c: str) -> bool:
+    """Whether a token that begins with this character is a word."""
+    return unicodedata.category(c)[0] in "LM" or unicodedata.category(c) in ("Nd", "Nl", "Pc") or c in "\u200c\u200d" or "\u24b6" <= c <= "\u24e9"
+
+
+class Speaker:
+    """Words to phonemes by a lexicon of rows (word, kind, phone, vi_phone, en_phone, is_en); what a word sounds like is kept."""
+
+    def __init__(self, rows: list):
+        self.known = {r["word"]: r for r in rows}
+        self.longest = max(map(len, self.known), default=0)
+        self.kept: dict[str, tuple[str, str | None, str, str]] = {}
+
+    def piece(self, word: str, lang: str) -> str:
+        r = self.known[word]
+        if r["kind"] == "merged":
+            return (r["phone"] or "").strip(" ")
+        vi, en = r["vi_phone"] or "", r["en_phone"] or ""
+        return (en if lang == "en" and en or not vi else vi).strip(" ")
+
+    def segmented(self, word: str, lang: str) -> str:
+        """Lexicon words that cover an unknown one, each place being reached from the smallest place; else letter by letter."""
+        reached = {0: ""}
+        for i in range(len(word)):
+            if i in reached:
+                for j in range(i + 1, min(i + self.longest, len(word)) + 1):
+                    part = word[i:j]
+                    if j not in reached and part in self.known and any(c in _VOWELS for c in part) and any(c.isalpha() and c not in _VOWELS for c in part):
+                        said = self.piece(part, lang)
+                        reached[j] = f"{reached[i]} {said}" if reached[i] else said
+        if len(word) in reached:
+            return reached[len(word)]
+        return "".join(self.piece(c, lang) if c in self.known else c for c in word)
+
+    def look(self, token: str) -> tuple[str, str | None, str, str]:
+        """(language, phonemes or None while that is open, Vietnamese and English phonemes) of a token, with ``TAG`` before it if it is tagged."""
+        tagged, word = token[0] == TAG and len(token) > 1, token.removeprefix(TAG) if len(token) > 1 else token
+        low = word.lower()
+        if not _is_word(word[0]):
+            return "punct", word.strip(" "), "", ""
+        r = self.known.get(low)
+        vi, en = ("", "") if r is None else (r["vi_phone"] or "", r["en_phone"] or "")
+        if r is not None and r["kind"] == "merged":
+            return "en" if tagged or r["is_en"] else "vi", (r["phone"] or "").strip(" "), vi, en
+        if r is not None and not tagged:
+            return "common", None, vi.strip(" "), en.strip(" ")
+        if r is not None and en:
+            return "en", en.strip(" "), vi, en
+        lang = "en" if tagged or not any(c in VIETNAMESE for c in low) else "vi"
+        return lang, self.segmented(low, lang).strip(" "), vi, en
+
+    def say(self, words: list[str]) -> str:
+        found = []
+        for w in words:
+            if w not in self.kept:
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[w] = self.look(w)
+            found.append(self.kept[w])
+        langs = [f[0] for f in found]
+        if "common" in langs:
+            langs = shared_languages(langs, [f[0] == "punct" and w in STOPS for f, w in zip(found, words, strict=True)])
+        said = [(en if lang == "en" else vi) if phone is None else phone for lang, (_, phone, vi, en) in zip(langs, found, strict=True)]
+        return _BEFORE_MARK.sub(r"\1", " ".join(said))
+
+
+def shared_languages(langs: list[str], stops: list[bool]) -> list[str]:
+    """``langs`` with those of shared words ("common") decided, by the rule of ``_languages``."""
+    out, n = list(langs), len(langs)
+    right: list[int | None] = [None] * n
+    near = None
+    for i in reversed(range(n)):
+        right[i] = near
+        if langs[i] in ("vi", "en"):
+            near = i
+        if stops[i]:
+            near = None
+    left = before = None
+    choice, i = "vi", 0
+    while i < n:
+        if stops[i]:
+            left = before = None
+        if langs[i] in ("vi", "en"):
+            left = i
+        if langs[i] != "common":
+            i += 1
+            continue
+        end = i
+        while end + 1 < n and langs[end + 1] == "common":
+            end += 1
+        later = before is not None and (left is None or before > left)
+        back = before if later else left
+        ahead = right[end]
+        if ahead is not None and (back is None or ahead - end <= i - back):
+            choice = langs[ahead]
+        elif not later:
+            choice = "vi" if left is None else langs[left]
+        out[i : end + 1] = [choice] * (end + 1 - i)
+        before, i = end, end + 1
+    return out
+
+
+_BEFORE_MARK = re.compile(" ([.,!?;:])")
+TAG = "\x01"
+#: Words of which a worker keeps the phonemes.
+KEPT_WORDS = 1_000_000
+
+
+def _spoken(batches: Iterator[pa.RecordBatch], lexicon, names: list[str]) -> Iterator[pa.RecordBatch]:
+    speaker = Speaker(lexicon.value)
+    for rows in batches:
+        said = [speaker.say(words) for words in rows.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(said, pa.string())], names=names)
+
+
+def phonemize(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "id", out_col: str = "phonemes") -> DataFrame:
+    """(id, phonemes) of each row; null and empty texts give ''."""
+    lexicon = overlay(lexicon)
+    columns = ["word", "kind", "phone", "vi_phone", "en_phone", "is_en"]
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns[:5]), F.lit(24))).alias("bytes")
+    few = lexicon.agg(F.count("*").alias("words"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    if few.words > HELD_WORDS or few.bytes > HELD_BYTES:
+        return _joined(df, lexicon, text_col, id_col, out_col)
+    held = df.sparkSession.sparkContext.broadcast([r.asDict() for r in lexicon.select(columns).collect()])
+    marked = F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.when(t["tagged"], F.concat(F.lit(TAG), t["word"])).otherwise(t["word"]))
+    rows = df.select(F.col(id_col).alias(id_col), marked.alias("_words"))
+    schema = T.StructType([rows.schema[id_col], T.StructField(out_col, T.StringType())])
+    return rows.mapInArrow(lambda it: _spoken(it, held, [id_col, out_col]), schema)

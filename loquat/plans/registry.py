@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loquat.functions import dates
 from loquat.functions import numbers as N
+from loquat.functions import patterns as P
 from loquat.operators import normalize as R
 from loquat.operators.g2p import phonemize, tokens
 from loquat.operators.pipeline import text_to_phonemes
@@ -19,10 +20,15 @@ from . import cases, sql
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Bytes of a split, at most.
+SPLIT_BYTES = 128 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. Spelling costs far more than moving text, so fewer files than cores are dealt out anew; large tables are read as they are split."""
+    """A table. Spelling costs far more than moving text, so one with less than a split for each core is dealt out anew; larger ones are read as they are split."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size < cores * SPLIT_BYTES else df
 
 
 def _squeezed(text):
@@ -78,12 +84,12 @@ def cleanup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(R.EMAIL), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("emails"), F.size(found).cast("long").alias("n"))
 
 
 def ip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"), F.lit(0)))
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"), F.lit(0)))
     rows = _table(spark, sf_dir, "documents").select("doc_id", found.alias("ip"))
     return rows.select("doc_id", "ip", R.versions(F.col("ip")).alias("words"))
 
@@ -118,6 +124,17 @@ def normalize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.normalize(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "normalized")
 
 
+def phonemize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phonemize(_table(spark, sf_dir, "documents"), L.seed_lexicon(spark), id_col="doc_id")
+
+
+def phonemize_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal inputs each have their output: the rows of every conversation twice."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "text")
+    said = phonemize(rows.unionAll(rows), L.seed_lexicon(spark), id_col="conv_id")
+    return said.groupBy("conv_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("phonemes") == "").alias("n_silent"))
+
+
 def pipeline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_to_phonemes(_table(spark, sf_dir, "documents"), L.seed_lexicon(spark), id_col="doc_id")
 
@@ -168,7 +185,7 @@ def _rule_query(name: str, rule, inputs: list[tuple[str, str]]) -> Query:
 _TABLE_QUERIES: list[Query] = [
     n2w_orders, n2w_digits, decimal_words, quantity_words, date_words, time_words, money_words, percent_words,
     cleanup_docs, email_docs, ip_words, acronym_docs, tokens_docs, tokens_conversations, lexicon_coverage,
-    url_words, normalize_docs, pipeline_docs,
+    url_words, normalize_docs, phonemize_docs, phonemize_repeated, pipeline_docs,
     normalize_golden, phonemize_golden, propagation_golden, segment_golden, pipeline_golden,
 ]
 
@@ -214,6 +231,9 @@ def oracle_sql() -> dict[str, str]:
         "time_words": f"WITH {sql.GROUPS}, p AS (SELECT event_id, strftime(ts, '%H') AS h, strftime(ts, '%M') AS m, strftime(ts, '%S') AS s FROM events) SELECT event_id, {sql.clock('h')} || ' giờ ' || {sql.clock('m')} || ' phút ' || {sql.clock('s')} || ' giây' AS words FROM p, said",
         "cleanup_docs": f"SELECT doc_id, {_tidy_sql('text')} AS clean FROM documents",
         "email_docs": "SELECT doc_id, array_to_string(e, ' ') AS emails, len(e)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b') AS e FROM documents)",
+        "ip_words": f"SELECT doc_id, ip, array_to_string(list_transform(string_split(ip, '.'), lambda p: {sql.digits('p', 'd')}), ' chấm ') AS words FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda w: regexp_full_match(w, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}'))) AS ip FROM documents)",
+        "acronym_docs": f"WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+(\\s+|$)')) AS s FROM documents), n AS (SELECT doc_id, sum(CASE WHEN regexp_matches(s, '\\p{{L}}') AND NOT regexp_matches(s, '\\p{{Ll}}') THEN 0 ELSE len(list_filter(regexp_extract_all(s, '{_WORD}+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}'))) END) AS n FROM s GROUP BY doc_id) SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0)::BIGINT END AS spelled FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id",
+        "phonemize_repeated": "SELECT conv_id, 2 * count(*) AS n_rows, (2 * count(*) FILTER (WHERE text IS NULL OR NOT regexp_matches(text, '[^\\s]')))::BIGINT AS n_silent FROM conversations GROUP BY conv_id",
         "tokens_docs": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM documents)",
         "tokens_conversations": f"SELECT conv_id, turn, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_TOKEN}') AS t FROM conversations)",
         "lexicon_coverage": f"WITH w AS (SELECT lang, lower(unnest(regexp_extract_all(text, '{_TOKEN}'))) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2), k AS (SELECT * FROM {sql.values([(r[0],) for r in L.seed_rows()], 'known')}) SELECT lang, sum(n)::BIGINT AS n_tokens, sum(CASE WHEN known IS NULL THEN 0 ELSE n END)::BIGINT AS n_known, count(*) AS n_words FROM c LEFT JOIN k ON word = known GROUP BY lang",

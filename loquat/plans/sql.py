@@ -36,8 +36,8 @@ def clock(n: str) -> str:
     return f"CASE WHEN {n} = '00' THEN '{DIGITS[0]}' ELSE {two_digits(n)} END"
 
 
-def digits(text: str) -> str:
-    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: {_D}[c::INT + 1]), ' ')"
+def digits(text: str, name: str = "c") -> str:
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda {name}: {_D}[{name}::INT + 1]), ' ')"
 
 
 def decimals(text: str) -> str:

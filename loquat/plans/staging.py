@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir`` (a temporary folder only where the session names none)."""
+    """``df`` computed once and kept in ``spark.checkpoint.dir`` (a temporary folder only where a local session names none)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.getConf().get("spark.checkpoint.dir", None) and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loquat-"))
     return df.checkpoint()

@@ -1,6 +1,10 @@
+import random
+import struct
+
 import pyspark.sql.functions as F
 import pytest
 
+from loquat.operators import g2p as G
 from loquat.operators.g2p import phonemize, tokens
 from loquat.plans import cases
 from loquat.sources import lexicon as L
@@ -16,7 +20,7 @@ def test_null_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "túi to."), (3, "túi to."), (None, "market")], "id int, text string")
     small = spark.createDataFrame(cases.SMALL_LEXICON, L.SCHEMA)
     got = sorted(map(str, ((r.id, r.phonemes) for r in phonemize(df, small).collect())))
-    assert got == sorted(map(str, [(1, ""), (2, ""), (3, "vi-túi vi-to."), (None, "en-market")]))
+    assert got == sorted(map(str, [(1, ""), (2, ""), (3, "vi-túi vi-to."), (3, "vi-túi vi-to."), (None, "en-market")]))
     assert phonemize(df.filter("false"), small).count() == 0
     assert {r.phonemes for r in phonemize(df, small.filter("false")).collect()} == {"", "túi to.", "market"}
 
@@ -39,3 +43,37 @@ def test_pooled_file_round_trip(spark, tmp_path):
     (tmp_path / "bad.bin").write_bytes(b"nothing of the kind" * 4)
     with pytest.raises(ValueError):
         L.load_lexicon(spark, str(tmp_path / "bad.bin"))
+
+
+def test_a_joined_lexicon_gives_the_same(spark, monkeypatch):
+    """Shared words in any order between words of one language, commas and stops; unknown, tagged and odd words."""
+    rng = random.Random(5)
+    words = ["túi", "to", "market", "on", "a", "unknown", "marketto", "đẹp", "b", "x9", "<en>to market</en>", "<en>on</en>", ",", ".", "-", "!", "Ⓐ", "é", "漢字", "\x01"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", " ", "túi", "túi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").union(spark.createDataFrame([(7, texts[7])], "id int, text string"))
+    small = spark.createDataFrame(cases.SMALL_LEXICON, L.SCHEMA)
+    for lexicon in (small, L.seed_lexicon(spark)):
+        held = sorted(map(tuple, phonemize(df, lexicon).collect()))
+        monkeypatch.setattr(G, "HELD_WORDS", 0)
+        assert sorted(map(tuple, phonemize(df, lexicon).collect())) == held
+        monkeypatch.undo()
+    assert len(held) == len(texts) + 1
+
+
+def test_nothing_is_shuffled(spark):
+    df = spark.range(10).selectExpr("id", "concat('túi ', id) as text")
+    plan = phonemize(df, spark.createDataFrame(cases.SMALL_LEXICON, L.SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_pooled_file_with_strings_out_of_range_or_not_utf8(spark, tmp_path):
+    path = tmp_path / "odd.bin"
+    pool = b"abc\0\xff\xfe\0"
+    at = L.BASE + len(pool)
+    records = [(0, 9), (1, 0), (0, 0)]  # a phoneme out of range, a word that isn't UTF-8, a sound one
+    path.write_bytes(L.HEADER.pack(L.MAGIC, 2, 3, 0, at, at + 8, at + 8 + 24) + pool + struct.pack("<2I", 0, 4) + b"".join(struct.pack("<2I", *r) for r in records))
+    got = [(r.word, r.phone) for r in L.load_lexicon(spark, str(path)).collect()]
+    assert sorted(got) == [("", "abc"), ("abc", ""), ("abc", "abc")]
+    path.write_bytes(b"SEA")
+    with pytest.raises(ValueError):
+        L.load_lexicon(spark, str(path))
