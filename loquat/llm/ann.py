@@ -7,17 +7,20 @@ about ``FIT_ROWS`` rows chosen by a hash of the id.
 Radius: on the same sample, the Hamming radius within which ``TARGET`` of the true neighbours of some rows lie. In
 a larger table neighbours are nearer, so it errs on the safe side.
 
-Index: every row is in one shard, by a hash of its id, so that no bucket, however common, is in one task. Within a
-shard the codes are cut into ``PARTS`` substrings, each indexed by its value. Two codes within radius r agree to
-within r // PARTS bits in one of their substrings, so probing the values within that many bits retrieves every
-code within r. Codes found are checked against the whole radius and reranked by distance in double precision. If
-fewer than k are within r, the radius grows by PARTS until there are k, or all.
+Index: rows stay where they are read. A task gathers blocks of ``BLOCK_ROWS`` rows; within a block the codes are cut
+into ``PARTS`` substrings, each indexed by its value. Two codes within radius r agree to within r // PARTS bits in one of
+their substrings, so probing the values within that many bits retrieves every code within r. Codes found are checked
+against the whole radius and reranked by distance in double precision. While a query has found fewer than k rows, its
+radius grows by PARTS until there are k, or all of the block.
 
-Queries go to every shard in blocks, each shard returns its k best, and the best k of all shards are kept.
+Queries are sent to all tasks, in blocks of at most ``BLOCK_QUERIES`` and ``BLOCK_BYTES``, whatever their number. A task
+keeps the k best of each query over all its blocks, so what is shuffled is k rows for each query and task; tasks are
+about as many as the cluster has cores, not as the table has rows. No row or vector of the table is shuffled, and no
+bucket, however common, is in one task.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do those
 of another length than most (the smaller of equals), nor rows without id; ties go to the smaller id; rows that
-repeat an id are each a candidate of others; with fewer than k candidates all are returned; ids are whole numbers; other
+repeat an id are each a candidate of others, and of queries that share an id the smallest vector is asked; with fewer than k candidates all are returned; ids are whole numbers; other
 columns are ignored, whatever their names; there is no text; an empty table gives no row.
 """
 
@@ -37,9 +40,11 @@ K = 10
 FIT_ROWS = 8_000
 TARGET = 0.97
 PARTS = 8
-SHARD_ROWS = 20_000
-LEAST_SHARDS = 48
-BLOCK_QUERIES = 256
+BLOCK_ROWS = 20_000
+#: Queries that are broadcast together.
+BLOCK_QUERIES, BLOCK_BYTES = 100_000, 64 << 20
+#: Tasks for each core of the cluster.
+TASKS = 4
 
 
 class Codes:
@@ -76,12 +81,12 @@ def calibrated(sample: np.ndarray, k: int, target: float) -> Codes:
 
 def probe(index: list[tuple[np.ndarray, np.ndarray, np.ndarray]], codes: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
     """Rows whose code is within ``radius`` of the query's: in some substring within radius // substrings bits."""
-    found = []
+    hit = np.zeros(len(codes), bool)
     for part, (values, edges, rows) in enumerate(index):
-        near = np.flatnonzero(np.bitwise_count(values ^ query[part]) <= radius // len(index))
-        found += [rows[edges[v] : edges[v + 1]] for v in near]
-    rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return rows[np.bitwise_count(codes[rows] ^ query).sum(1) <= radius]
+        for v in np.flatnonzero(np.bitwise_count(values ^ query[part]) <= radius // len(index)).tolist():
+            hit[rows[edges[v] : edges[v + 1]]] = True
+    rows = np.flatnonzero(hit)
+    return rows[np.bitwise_count(codes[rows].view(np.uint64) ^ query.view(np.uint64)).sum(1) <= radius] if codes.shape[1] % 8 == 0 else rows[np.bitwise_count(codes[rows] ^ query).sum(1) <= radius]
 
 
 def index_of(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,44 +98,69 @@ def index_of(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     return out
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, codes: Codes, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query, row, distance) of the k nearest found among one shard's rows."""
-    own = codes.encode(x)
-    index = index_of(own)
-    asked = codes.encode(q)
-    norms = (x * x).sum(1)
-    for query, vector, code in zip(query_ids.tolist(), q, asked, strict=True):
-        radius = codes.radius
-        others = int((ids != query).sum())
-        while True:
-            rows = probe(index, own, code, radius)
-            rows = rows[ids[rows] != query]
-            if len(rows) >= min(k, others) or radius >= 8 * own.shape[1]:
-                break
-            radius += own.shape[1]
-        if len(rows) > k:  # a product first; what it can't tell apart goes on
+class Best:
+    """The k nearest rows of each query so far, of ties the smaller ids."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, codes: Codes, k: int):
+        self.ids, self.q, self.codes, self.k = ids, q, codes, k
+        self.asked = codes.encode(q)
+        self.distance = np.full((len(ids), k), np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Search a block of rows."""
+        own, k = self.codes.encode(x), self.k
+        index, norms = index_of(own), (x * x).sum(1)
+        for i, (query, vector, code) in enumerate(zip(self.ids.tolist(), self.q, self.asked, strict=True)):
+            radius, worst = self.codes.radius, self.distance[i, -1]
+            while True:
+                rows = probe(index, own, code, radius)
+                rows = rows[ids[rows] != query]
+                if len(rows) >= k or np.isfinite(worst) or radius >= 8 * own.shape[1]:
+                    break
+                radius += own.shape[1]
+            # a product first; what it can't tell apart goes on
             rough = norms[rows] - 2 * (x[rows] @ vector)
-            bound = np.partition(rough, k - 1)[k - 1]
-            rows = rows[rough <= bound + 1e-9 * (1 + abs(bound) + float(vector @ vector))]
-        gap = x[rows] - vector
-        distance = np.sqrt((gap * gap).sum(1))
-        for r in np.lexsort((ids[rows], distance))[:k]:
-            yield query, int(ids[rows[r]]), float(distance[r])
-
-
-def _shard(key, left: pa.Table, right: pa.Table, codes, k: int) -> pa.Table:
-    """The rows (shard, id, vector) of a shard and the queries sent to it."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
-    matrix = lambda t: np.asarray(t.column("vector").combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, -1)
-    ids = left.column("id").to_numpy()
-    x = matrix(left)
-    found = []
-    for at in range(0, right.num_rows, BLOCK_QUERIES):
-        part = right.slice(at, BLOCK_QUERIES)
-        found += nearest(ids, x, part.column("id").to_numpy(), matrix(part), codes.value, k)
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)] if found else [[], [], []], schema=schema)
+            size = float(vector @ vector)
+            bound = min(np.partition(rough, k - 1)[k - 1] if len(rows) > k else np.inf, worst * worst - size)
+            rows = rows[rough <= bound + 1e-9 * (1 + min(abs(bound), size + worst * worst) + size)]
+            if not len(rows):
+                continue
+            gap = x[rows] - vector
+            distance = np.append(self.distance[i], np.sqrt((gap * gap).sum(1)))
+            found = np.append(self.found[i], ids[rows])
+            first = np.lexsort((found, distance))[:k]
+            self.distance[i], self.found[i] = distance[first], found[first]
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.isfinite(self.distance)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, some.sum(1))), pa.array(self.found[some]), pa.array(self.distance[some])], names=["query_id", "vec_id", "score"])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(np.float64).reshape(rows, -1)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) of a task to the k nearest of them for each of the queries."""
+    codes, query_ids, q = shared.value
+    best, held, size = Best(query_ids, q, codes, k), [], 0
+
+    def search() -> None:
+        rows = pa.Table.from_batches(held)
+        best.add(rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), rows.num_rows))
+
+    for rows in batches:
+        for at in range(0, rows.num_rows, BLOCK_ROWS):
+            part = rows.slice(at, BLOCK_ROWS)
+            held.append(part)
+            size += part.num_rows
+            if size >= BLOCK_ROWS:
+                search()
+                held, size = [], 0
+    if size:
+        search()
+    yield best.rows()
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = K) -> DataFrame:
@@ -150,14 +180,24 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     dims, total = sizes[0]["d"], sizes[0]["count"]
     rows, asked = rows.filter(F.size("vector") == dims), asked.filter(F.size("vector") == dims)
     share = int(min(1.0, FIT_ROWS / total) * (1 << 30))
-    fit = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < share).collect()  # about FIT_ROWS rows
+    fit = rows.filter(F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < share).distinct().collect()  # about FIT_ROWS rows; rows that repeat count once
     sample = np.array([r.vector for r in sorted(fit)], np.float64).reshape(-1, dims)
-    codes = spark.sparkContext.broadcast(calibrated(sample, k, TARGET))
-    shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)))
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda key, a, b: _shard(key, a, b, codes, k), "query_id long, vec_id long, score double")
-    best = stage.write(best, "best")
+    codes = calibrated(sample, k, TARGET)
+
+    asked = stage.write(asked.groupBy("id").agg(F.min("vector").alias("vector")), "asked")
+    blocks = max(1, -(-asked.count() // min(BLOCK_QUERIES, max(1, BLOCK_BYTES // (8 * dims)))))
+    tasks = max(1, TASKS * spark.sparkContext.defaultParallelism)
+    paths = []
+    for block in range(blocks):
+        part = sorted(asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect())
+        q = np.array([r.vector for r in part], np.float64).reshape(-1, dims)
+        shared = spark.sparkContext.broadcast((codes, np.array([r.id for r in part], np.int64), q))
+        scanned = rows.select("id", "vector").coalesce(tasks).mapInArrow(lambda it, shared=shared: _scanned(it, shared, k), "query_id long, vec_id long, score double")
+        stage.write(scanned, f"best-{block}")
+        paths.append(stage.path(f"best-{block}"))
+        shared.unpersist()
+    stage.drop("asked")
+    best = spark.read.schema("query_id long, vec_id long, score double").parquet(*paths)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

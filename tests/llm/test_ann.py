@@ -50,3 +50,40 @@ def test_few_rows_and_none(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in A.search(df, df.filter("vec_id = 0"), "vec_id", "embedding").collect()]
     assert sorted(got) == [(0, 1, 1, 0.5), (0, 2, 2, 20**0.5)]
     assert A.search(df.filter("false"), df, "vec_id", "embedding").count() == 0
+
+
+def test_blocks_of_rows_and_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16))
+    x[300:600] = x[0]  # a third of the rows are equal
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(5)
+    run = lambda: sorted(map(tuple, A.search(df, df.filter("vec_id % 9 = 0"), "vec_id", "embedding").collect()))
+    plain = run()
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 7)
+    assert run() == plain and len(plain) == 1000
+    found = {}
+    for q, _, i, _ in plain:
+        found.setdefault(q, []).append(i)
+    assert all(found[q] == [i for i in [0, *range(300, 600)] if i != q][:10] for q in (0, 306, 594))
+
+
+def test_queries_that_repeat(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [3.0, 0.0]), (1, [1.5, 0.0]), (1, [9.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in A.search(df, df.filter("vec_id = 0"), "vec_id", "embedding").collect()]
+    assert sorted(got) == [(0, 1, 1, 0.5), (0, 2, 1, 8.0)]
+
+
+def test_recall_at_table_scale(spark):
+    """Nearly isotropic vectors, the hardest for codes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in A.search(df, df.filter("vec_id % 500 = 0"), "vec_id", "embedding").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 500):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far)[:10].tolist()))
+    assert hits / 400 >= 0.93
