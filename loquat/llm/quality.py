@@ -173,12 +173,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(self._scaled(x)) / self.temperature, -500, 500)))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows (_row [, _text]) to (_row, _score); the text is in the struct, at place ``text``, or, if that is -1, beside it."""
     vectors, weights, network = model.value
     for rows in batches:
-        for lo, hi, raw, off in chunks(rows.column(0), 1 << 18):
+        column = rows.column(1) if text < 0 else rows.column(0).flatten()[text]
+        for lo, hi, raw, off in chunks(column, 1 << 18):
             score = network.score(pooled(raw, off, vectors, weights))
-            yield batch(_row=rows.column(1).slice(lo, hi - lo), _score=pa.array(score))
+            yield batch(_row=rows.column(0).slice(lo, hi - lo), _score=pa.array(score))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -208,18 +210,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return vectors, weights, Network(x, np.array([r.quality for r in seen], np.float64))
 
 
-def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(_row: the row of ``docs``, _score: from 0 to 1)."""
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """(_row: the row of ``docs``, or its columns ``keep``; _score: from 0 to 1)."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, train_rows))
-    rows = docs.select(F.col(f"`{text_col}`").alias("_text"), F.struct("*").alias("_row"))
+    keep = docs.columns if keep is None else keep
+    place = keep.index(text_col) if text_col in keep else -1
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), *([F.col(f"`{text_col}`").alias("_text")] if place < 0 else []))
     schema = T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(lambda it: _scored(it, model), schema)
+    return rows.mapInArrow(lambda it: _scored(it, model, place), schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The columns of every document, and ``score``."""
-    scored = scored_rows(docs, labels, id_col, text_col, label_col, train_rows)
-    return scored.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != "score"), F.col("_score").alias("score"))
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The columns of every document, or those of ``keep``, and ``score``."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
+    scored = scored_rows(docs, labels, id_col, text_col, label_col, train_rows, keep)
+    return scored.select(*(F.col(f"_row.`{c}`") for c in keep), F.col("_score").alias("score"))
 
 
 def hash_order(doc_id) -> int:
@@ -228,5 +233,5 @@ def hash_order(doc_id) -> int:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

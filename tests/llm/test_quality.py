@@ -120,3 +120,13 @@ def test_one_id_that_stands_in_most_rows(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     l = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, quality int")
     assert Q.score_documents(d, l).count() == len(docs)
+
+
+def test_kept_columns(spark):
+    docs, labels = corpus(80)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
+    l = spark.createDataFrame(labels, "doc_id long, quality int")
+    every = {str(r.doc_id): (r.text, r.lang, r.score) for r in Q.score_documents(d, l).collect()}
+    some = Q.score_documents(d, l, keep=["doc_id"])
+    assert some.columns == ["doc_id", "score"] and {str(r.doc_id): r.score for r in some.collect()} == {k: v[2] for k, v in every.items()}
+    assert {str(i): t for i, t, *_ in docs} == {k: v[0] for k, v in every.items()}
