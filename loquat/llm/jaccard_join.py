@@ -16,7 +16,8 @@ shingles of ``size`` words (its whole sequence as one, if it has fewer). Two doc
    the intersection), and are verified once on the exact sets.
 4. Verified links are contracted to components. Prefix shingles that still hold several components are
    joined with themselves across components only, with length, positional and suffix filters, and the
-   pairs verified. So no link between components is lost, and no group is expanded into all its pairs.
+   pairs verified. So no link between components is lost, and no group is expanded into all its pairs. Where
+   the number of links is asked for, this step takes the pairs within components too.
 
 Defined cases: documents without words have size 0 and are their own component; null text is empty; rows
 with a null id get their size and a null component; rows that repeat an id count as one document if their
@@ -143,17 +144,23 @@ def _sketch_overlap(batches: Iterator[pa.RecordBatch], num: int, den: int) -> It
         yield pa.RecordBatch.from_arrays(rows.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    With ``links`` also n_links, the number of other documents that it links with. Every pair of different sets that
+    share a prefix shingle is then filtered and verified, not those across components alone, so the work grows with
+    the number of links between different sets; copies are counted by the sizes of their classes.
+    """
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         rows = numbered(docs, "doc_id", "text", stage, nulls_first=False)
-        linked = link_documents(rows.select("_doc", "_row.text"), "_doc", "text", size, num, den).distinct()
+        linked = link_documents(rows.select("_doc", "_row.text"), "_doc", "text", size, num, den, links).distinct()
         names = rows.filter("_row.doc_id is not null").select(F.col("_doc").alias("component_id"), F.col("_row.doc_id").alias("component")).distinct()
-        linked = linked.join(names, "component_id", "left").select(F.col("doc_id").alias("_doc"), "n_shingles", "component")
-        out = rows.join(linked, "_doc").select("_row.doc_id", "n_shingles", F.col("component").alias("component_id"))
+        more = ["n_links"] if links else []
+        linked = linked.join(names, "component_id", "left").select(F.col("doc_id").alias("_doc"), "n_shingles", "component", *more)
+        out = rows.join(linked, "_doc").select("_row.doc_id", "n_shingles", F.col("component").alias("component_id"), *more)
         return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n long, cls long, sketch binary, block int, counts binary"
@@ -193,14 +200,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = live.join(labels, live.cls == labels.v, "left").select("tok", "cls", "at", F.coalesce("component", "cls").alias("c"))
     named = stage.write(named, "named")
     stage.drop("live")
+    apart = F.lit(True) if links else F.col("c_a") != F.col("c_b")
     several = named.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-    open_ = stage.write(named.join(several, "tok"), "open")
+    open_ = stage.write(named if links else named.join(several, "tok"), "open")
     stage.drop("named")
     x = open_.select("tok", *(F.col(k).alias(f"{k}_a") for k in ("cls", "c")), n("at").alias("n_a"), pos("at").alias("pos_a"))
     y = open_.select(F.col("tok").alias("tok_b"), *(F.col(k).alias(f"{k}_b") for k in ("cls", "c")), n("at").alias("n_b"), pos("at").alias("pos_b"))
     need = (F.col("n_a") + F.col("n_b")) * num  # of (num + den) times the intersection
     most = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    across = x.join(y, (F.col("tok") == F.col("tok_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("c_a") != F.col("c_b")) & lengths & (most * (num + den) >= need))
+    across = x.join(y, (F.col("tok") == F.col("tok_b")) & (F.col("cls_a") < F.col("cls_b")) & apart & lengths & (most * (num + den) >= need))
     across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     tried = spark.read.schema("a long, b long").parquet(stage.path("first-likely"))
     second = verify(across.join(tried, ["a", "b"], "left_anti"), "second")
@@ -209,8 +217,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = classes.join(labels, classes.cls == labels.v, "left").select("cls", "rep", F.coalesce("component", "cls").alias("c"))
     smallest = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = stage.write(placed.join(smallest, "c").select("cls", "component_id"), "components")
+    more = []
+    if links:
+        by_class = by_class.join(_link_counts(rows, first.union(second)), "cls")
+        more = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *more)
+
+
+def _link_counts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, n_links) of every class: its other members and all those of the classes linked with it."""
+    sizes = rows.filter("cls is not null and doc_id is not null").select("cls", "doc_id").distinct().groupBy("cls").agg(F.count("*").alias("m"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    near = both.join(sizes, both.b == sizes.cls).groupBy("a").agg(F.sum("m").alias("others"))
+    return sizes.join(near, sizes.cls == near.a, "left").select("cls", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,34 @@ def test_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "a b c d e")], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in J.link_documents(df).collect()))) == sorted(map(str, [(None, 2, None), (4, 2, 4), (4, 2, 4), (9, 2, 4)]))
     assert J.link_documents(df.filter("false")).count() == 0
+
+
+def brute_links(rows, size=4, num=85, den=100):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    out = dict.fromkeys(sets, 0)
+    for x in sets:
+        for y in sets:
+            if x != y and sets[x] and sets[y]:
+                both = len(sets[x] & sets[y])
+                out[x] += den * both >= num * (len(sets[x]) + len(sets[y]) - both)
+    return out
+
+
+def test_number_of_links(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in J.link_documents(df, links=True).collect()}
+    links = brute_links(rows)
+    assert any(links.values()) and got == {i: (*x, links[i]) for i, x in brute(rows).items()}
+    named = J.link_documents(df.selectExpr("concat('d', doc_id) AS doc_id", "text"), links=True)
+    assert {r.doc_id: r.n_links for r in named.collect()} == {f"d{i}": n for i, n in links.items()}
+
+
+def test_number_of_links_of_repeats_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "a b c d e"), (5, ""), (6, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_links) for r in J.link_documents(df, links=True).collect())
+    assert got == [("4", 1), ("4", 1), ("5", 0), ("6", 0), ("9", 1), ("None", None)]
+    assert J.link_documents(df.filter("false"), links=True).count() == 0
