@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard_join, licenses, line_dedup, packing, quality, substring_dedup, url_filter, warc
+from . import ann, decontaminate, fill_in_middle, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
 
 _QUERIES = {
     "op1_ann": ann.query,
@@ -19,6 +19,8 @@ _QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op12_secrets": secrets.query,
 }
 
 _SQL = {
@@ -28,6 +30,8 @@ _SQL = {
     "op7_url_filter": url_filter.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_warc": warc.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_secrets": secrets.SQL,
 }
 
 
