@@ -122,6 +122,16 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def slices(rows: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text in a column; a longer text is a slice by itself."""
+    _, ends = texts(rows.column(column))
+    lo = 0
+    while lo < rows.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1)
+        yield rows.slice(lo, hi - lo)
+        lo = hi
+
+
 # ---- 64-bit hashes --------------------------------------------------------
 
 _BASE = U64(0x9E3779B97F4A7C15)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import slices, table
 
 SEED = 42
 #: Shares, in hundredths: of documents that are transformed, and of these in the order ``spm``.
@@ -55,23 +55,13 @@ def _sql(seed: int, rate: int, spm_rate: int) -> str:
     from parts order by k"""
 
 
-def _pieces(rows: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``limit`` bytes of text (second column)."""
-    _, ends = texts(rows.column(1))
-    lo = 0
-    while lo < rows.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1)
-        yield rows.slice(lo, hi - lo)
-        lo = hi
-
-
 def _transformed(batches: Iterator[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(":memory:", config={"threads": 1})
     try:
         for rows in batches:
-            for part in _pieces(rows, CHUNK_BYTES):
+            for part in slices(rows, 1, CHUNK_BYTES):
                 k = pa.array(np.arange(part.num_rows))
                 con.register("batch", pa.table({"k": k, "id": part.column(2), "text": part.column(1).fill_null("")}))
                 out = con.sql(sql).to_arrow_table().combine_chunks()

@@ -15,8 +15,8 @@ among those of their length from per-block counts, never from a sort of all piec
 
 Defined cases: null text is empty and has the end token only; a null ``doc_id`` is
 kept as it is; repeated rows are packed each on its own (ties of ``doc_id`` are
-broken by piece start and text digest); an empty table gives no piece; other columns
-are ignored.
+broken by piece start and text digest); a text of any length is tokenised whole, runs of
+blanks of any length too; an empty table gives no piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +41,24 @@ BLOCK_PIECES = 20_000
 
 
 class _Tokenizer:
-    """Ids of the byte-level BPE file. Texts of letters below U+0250 go through the same vocabulary as ranks, which is several times faster and gives the same ids; others, and texts that spell a special token, go through the file itself."""
+    """Ids of the byte-level BPE file.
 
-    PLAIN = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
+    Texts of letters below U+0250 go through the same vocabulary as ranks, which is several times faster and gives the same
+    ids. Others go through the file itself, as do texts that spell the special token (unless ``plain_specials`` says that
+    it is text like any other) and those with over ``BLANKS`` blanks in a row, for which the fast library's stack is too small.
+    """
+
+    FAR = re.compile("[^\x00-ɏ]")
+    SPECIAL = "<|endoftext|>"
+    RUN = re.compile(r"\s{64,}")
+    BLANKS = 10_000
 
-    def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, path: str, ranks_path: str | None, pattern: str | None, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain_specials
+        self.plain_specials = plain_specials
         self.fast = None
         if ranks_path and pattern:
             import tiktoken
@@ -58,7 +68,7 @@ class _Tokenizer:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not self.PLAIN.search(text):
+        if self.fast is not None and not self.FAR.search(text) and (self.plain_specials or self.SPECIAL not in text) and not (len(text) > self.BLANKS and any(m.end() - m.start() > self.BLANKS for m in self.RUN.finditer(text))):
             return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, fill_in_middle, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
+from . import alignment, ann, decontaminate, fill_in_middle, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
 
 _QUERIES = {
     "op1_ann": ann.query,
@@ -21,6 +21,7 @@ _QUERIES = {
     "op10_decontaminate": decontaminate.query,
     "op11_fill_in_middle": fill_in_middle.query,
     "op12_secrets": secrets.query,
+    "op13_alignment": alignment.query,
 }
 
 _SQL = {

@@ -69,3 +69,24 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_of_blanks(spark):
+    from tokenizers import Tokenizer
+
+    whole, coder = Tokenizer.from_file(P.public_spec()[0]), P.tokenizer(*P.public_spec())
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", " " * 10_000, " " * 10_001, "x " + " \t" * 6_000 + "y"):
+        assert coder.ids(text) == whole.encode(text, add_special_tokens=False).ids
+    out = P.pack_documents(spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000)], "doc_id long, text string"))
+    assert {(r.doc_id, r.doc_tokens) for r in out.collect()} == {(1, 1_000_001), (2, 500_001)}
+
+
+def test_both_ways_give_the_same_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole, coder, rng = Tokenizer.from_file(P.public_spec()[0]), P.tokenizer(*P.public_spec()), random.Random(5)
+    for _ in range(3_000):
+        text = "".join(chr(rng.randrange(0x250)) if rng.random() < 0.5 else rng.choice(" abc'sdlt\n\t0123") for _ in range(rng.randrange(40)))
+        assert coder.ids(text) == whole.encode(text, add_special_tokens=False).ids
