@@ -151,9 +151,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners are the sources, repositories a source's documents of one language."""
     docs = table(spark, sf_dir, "documents")
     out = scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
-    of = lambda test: F.size(F.filter("spans", test)).cast("long")
-    kinds = [of(lambda x, k=k: x["kind"] == k).alias(f"n_{k}") for k in BASE]
-    verdicts = [of(lambda x, v=v: x["verdict"] == v).alias(f"n_{v}") for v in ("live", "copied")]
+    of = lambda field, value: F.size(F.filter("spans", lambda x: x[field] == value)).cast("long").alias(f"n_{value}")
+    kinds = [of("kind", k) for k in BASE]
+    verdicts = [of("verdict", v) for v in ("live", "copied")]
     return out.select("doc_id", *kinds, F.sha2(said(F.filter("spans", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), *verdicts)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loquat.llm import secrets as S
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -96,6 +96,7 @@ def test_query_beside_sql(spark):
     got = S.query(spark, FOLDER)
     want = con.execute(f"select {', '.join(got.columns)} from ({S.SQL})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(r.n_assign for r in got.collect()) > 0
     texts = dict(con.execute("select doc_id, coalesce(text, '') from documents").fetchall())
     for r in got.collect():
         spans = base(texts[r.doc_id])
