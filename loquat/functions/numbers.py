@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bind import lit, nth
+from .bind import let, lit, nth
 
 # The digits and the scale words.
 DIGITS = ["không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín"]
 SCALES = ["", " nghìn", " triệu"]
 _SEPARATORS = " -.,"
+#: Digits of a number that is still read as one: the scale words of each of its groups grow with its length.
+LONGEST = 3_000
 
 
 def _group(n: int, leading: bool) -> str:
@@ -71,6 +75,7 @@ def n2w(number: Column) -> Column:
         F.when(~is_digits(digits), number)
         .when(two, F.concat(lit(f"{DIGITS[0]} "), nth(DIGITS, F.substring(digits, 2, 1).cast("int"))))
         .when(bare == "", lit(DIGITS[0]))
+        .when(F.length(bare) > LONGEST, each_digit(digits))
         .otherwise(_whole(bare))
     )
 
@@ -96,31 +101,33 @@ def n2w_decimal(digits: Column) -> Column:
     return F.when(clean.rlike("[1-9]5$"), F.concat(each_digit(F.regexp_replace(clean, "5$", "")), lit(" lăm"))).when(clean == "", digits).otherwise(each_digit(clean))
 
 
-def _pointed(whole: Column, decimals: Column, point: str) -> Column:
-    """Decimals without the zeros at their end."""
-    cut = F.rtrim(decimals, lit("0"))
-    return F.when(cut == "", n2w(whole)).otherwise(F.concat(n2w(whole), lit(f" {point} "), n2w_decimal(cut)))
+def several(numbers: list[Column], say: Callable[..., Column]) -> Column:
+    """``say`` of the words of whole numbers. The expression for words is large, so it stands once for all of them."""
+    return let(F.transform(F.array(*numbers), n2w), lambda words: say(*(F.get(words, lit(k)) for k in range(len(numbers)))))
 
 
-def _part(text: Column, mark: str, k: int) -> Column:
-    return F.get(F.split(text, f"\\{mark}", -1), lit(k))
+def _pointed(whole: Column, decimals: Column, point: Column) -> Column:
+    """A whole number, and decimals if there are any."""
+    return F.concat(let(whole, n2w), let(decimals, lambda d: F.when(F.coalesce(d, lit("")) == "", lit("")).otherwise(F.concat(point, n2w_decimal(d)))))
 
 
-def _grouped(number: Column, mark: str, point: str) -> Column:
-    """One kind of mark: thousands if there are several or three digits follow it."""
-    marks = F.length(number) - F.length(F.replace(number, lit(mark), lit("")))
-    second = _part(number, mark, 1)
-    thousands = (marks > 1) | (F.length(second) == 3)
-    return F.when(thousands, n2w(F.replace(number, lit(mark), lit("")))).otherwise(_pointed(_part(number, mark, 0), second, point))
+def _part(text: Column, mark: str, k: int) -> Column:
+    return F.get(F.split(text, f"\\{mark}", -1), lit(k))
 
 
 def quantity(number: Column) -> Column:
-    """A number before a unit, currency or percent sign."""
+    """A number before a unit, currency or percent sign: with one kind of mark, these are for thousands if there are several or three digits follow one."""
     comma, dot = number.contains(","), number.contains(".")
-    english, local = F.replace(number, lit(","), lit("")), F.replace(number, lit("."), lit(""))
+    plain = lambda mark: F.replace(number, lit(mark), lit(""))
+    thousands = lambda mark: (F.length(number) - F.length(plain(mark)) > 1) | (F.length(_part(number, mark, 1)) == 3)
     dot_last = number.rlike(r"\.[^,]*$")
-    mixed = F.when(dot_last, _pointed(_part(english, ".", 0), _part(english, ".", 1), "phẩy")).otherwise(_pointed(_part(local, ",", 0), _part(local, ",", 1), "phẩy"))
-    return F.when(comma & dot, mixed).when(comma, _grouped(number, ",", "phẩy")).when(dot, _grouped(number, ".", "chấm")).otherwise(n2w(number))
+    parts = (
+        F.when(comma & dot, F.when(dot_last, F.split(plain(","), r"\.", -1)).otherwise(F.split(plain("."), ",", -1)))
+        .when(comma, F.when(thousands(","), F.array(plain(","))).otherwise(F.split(number, ",", -1)))
+        .when(dot, F.when(thousands("."), F.array(plain("."))).otherwise(F.split(number, r"\.", -1)))
+        .otherwise(F.array(number))
+    )
+    return let(parts, lambda p: _pointed(F.get(p, lit(0)), F.rtrim(F.get(p, lit(1)), lit("0")), F.when(dot & ~comma, " chấm ").otherwise(" phẩy ")))
 
 
 def power(exponent: Column) -> Column:
@@ -131,7 +138,9 @@ def power(exponent: Column) -> Column:
 
 def scientific(base: Column, exponent: Column) -> Column:
     """3.2e5: the base with its point, then the power of ten."""
-    said = F.when(base.contains("."), _pointed(_part(base, ".", 0), _part(base, ".", 1), "chấm")).when(base.contains(","), _pointed(_part(base, ",", 0), _part(base, ",", 1), "phẩy")).otherwise(n2w(base))
+    dot = base.contains(".")
+    parts = F.when(dot, F.split(base, r"\.", -1)).otherwise(F.split(base, ",", -1))
+    said = let(parts, lambda p: _pointed(F.get(p, lit(0)), F.rtrim(F.get(p, lit(1)), lit("0")), F.when(dot, " chấm ").otherwise(" phẩy ")))
     return F.concat(said, lit(" nhân mười mũ "), power(exponent))
 
 
@@ -141,10 +150,6 @@ def plain_number(number: Column, negative: Column) -> Column:
     grouped = number.rlike(r"^[0-9]+(\.[0-9]{3})+$")
     tight = F.replace(number, lit(" "), lit(""))
     whole = F.when(grouped, F.replace(tight, lit("."), lit(""))).otherwise(tight)
-    pointed = F.concat(n2w(_part(tight, ".", 0)), lit(" chấm "), n2w_decimal(_part(tight, ".", 1)))
-    comma = F.concat(n2w(_part(whole, ",", 0)), lit(" phẩy "), n2w_decimal(_part(whole, ",", 1)))
-    return F.concat(sign, F.when(number.contains(".") & ~grouped, pointed).when(whole.contains(","), comma).otherwise(n2w(whole)))
-
-
-def money(amount: Column, currency: str) -> Column:
-    return F.concat(quantity(amount), lit(f" {currency}"))
+    dot = number.contains(".") & ~grouped
+    parts = F.when(dot, F.split(tight, r"\.", -1)).otherwise(F.split(whole, ",", -1))
+    return F.concat(sign, let(parts, lambda p: _pointed(F.get(p, lit(0)), F.get(p, lit(1)), F.when(dot, " chấm ").otherwise(" phẩy "))))

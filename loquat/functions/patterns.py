@@ -1,6 +1,12 @@
 """The patterns of the written forms.
 
 What they match is part of the results. Digits are ASCII digits, as texts bring all others to these first.
+
+Patterns take time in proportion to the text, whatever it holds, and no stack. Java's engine recurses for each turn of a
+group that repeats, unless the group is possessive; and a search that fails is begun anew at each place. So groups that
+repeat keep what they have (``*+``; what follows can't begin with what they take), and where a search can fail after a long
+run, it begins at the run's first place only (``_first``, ``_chain``, a look behind). The end of the match before
+(``\\G``) is such a place too.
 """
 
 from __future__ import annotations
@@ -12,7 +18,8 @@ from . import resources as R
 U = "(?U)"  # classes and word ends of Unicode
 I = "(?iU)"  # noqa: E741  and no case
 
-_NUMBER = r"([0-9]+(?:[.,][0-9]+)*)"
+_NUMBER = r"([0-9]++(?:[.,][0-9]++)*+)"
+_NEW_NUMBER = r"(?<![0-9])(?<![0-9][.,])"
 _MAGNITUDE = rf"(?:\s*({'|'.join(R.MAGNITUDES)}))?"
 _DASH = r"[–\-—]"
 _ONE_POINT = r"([0-9]+(?:[.,][0-9]+)?)"
@@ -25,8 +32,41 @@ def _any(keys) -> str:
     return "|".join(re.sub(r"([.\\^$|?*+()\[\]{}])", r"\\\1", k) for k in keys)
 
 
-_UNITS = _any(sorted([*R.UNITS, *R.CURRENCIES], key=len, reverse=True))
-_EXCEPTIONS = _any(sorted({**R.ACRONYMS, **R.TERMS}, key=len, reverse=True))
+def literals(keys, fold: bool = False) -> str:
+    """A pattern for any of the keys, the longest that fits first: their trie, so that each character is looked at once.
+
+    With ``fold`` (for patterns without case) keys that differ in case only are one.
+    """
+    trie: dict = {}
+    for key in sorted({k.lower() if fold else k for k in keys}):
+        at = trie
+        for c in key:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def said(at: dict) -> str:
+        ways = [_any([c]) + said(at[c]) for c in at if c]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and ("" not in at or len(ways[0]) == 1) else f"(?:{'|'.join(ways)})"
+        return f"{one}?" if "" in at else one
+
+    return said(trie)
+
+
+def _first(word: str, marks: str) -> str:
+    """The first word boundary of a run of these characters: the run's begin, or the end or begin of the word it begins with."""
+    run = word + marks
+    return rf"(?:\G|(?<![{run}])|(?<=[\w&&[^{run}]][{word}]{{1,60}})|(?<=(?:^|[^\w{run}])[{marks}]{{1,60}}))\b"
+
+
+# A number of a chain like 1.2,3 that begins where the chain does, or behind a name such as a1 in a1.2
+_CHAIN = r"(?:\G|(?<![0-9][.,])|(?<=[^\W0-9][0-9]{1,30}[.,]))"
+_UNITS = literals([*R.UNITS, *R.CURRENCIES], fold=True)
+_EXCEPTIONS = literals({**R.ACRONYMS, **R.TERMS})
+# Letters and digits, and more of them behind low lines, dots or hyphens; a word ends with each part that is counted.
+_AN = "[a-zA-Z0-9]++"
+_PART = rf"[.\-]{_AN}(?:_{_AN})*+\b"
 
 # Addresses, paths and names, and what they are split at. A dot whose next word is a suffix takes the
 # marks between them along.
@@ -34,20 +74,26 @@ TECHNICAL = I + "|".join(
     (
         rf"\b(?:https?|ftp)://{_WEB}+\b",
         rf"\b(?:www\.){_WEB}+\b",
-        rf"\b[A-Za-z0-9.\-]+(?:\.com|\.vn|\.net|\.org|\.gov|\.io|\.biz|\.info)(?:/{_WEB}*)?\b",
-        r"(?<!\w)/[a-zA-Z0-9._\-/]{2,}\b",
+        _first("A-Za-z0-9", r".\-") + rf"[A-Za-z0-9.\-]+(?:\.com|\.vn|\.net|\.org|\.gov|\.io|\.biz|\.info)(?:/{_WEB}*)?\b",
+        r"(?<!\w)(?:\G|(?<!/[._\-]{0,60})|(?<=\w/[._\-]{0,60}))/[a-zA-Z0-9._\-/]{2,}\b",
         r"\b[a-zA-Z]:\\[a-zA-Z0-9._\\\-]+\b",
-        rf"\b[a-zA-Z0-9._\-]+\.(?:{'|'.join(R.FILES)})\b",
-        r"\b[a-zA-Z][a-zA-Z0-9]*(?:[._\-][a-zA-Z0-9]+){2,}\b",
+        _first("A-Za-z0-9_", r".\-") + rf"[a-zA-Z0-9._\-]+\.{literals(R.FILES, fold=True)}\b",
+        # at least two parts more, however they are split between low lines and other marks
+        rf"\b[a-zA-Z][a-zA-Z0-9]*+(?:(?:_{_AN}){{2,}}+\b(?:{_PART})*+|_{_AN}\b(?:{_PART})++|[.\-]{_AN}(?:_{_AN})++\b(?:{_PART})*+|(?:{_PART}){{2,}}+)",
         r"\b(?:[a-fA-F0-9]{1,4}:){3,7}[a-fA-F0-9]{1,4}\b",
     )
 )
-EMAIL = U + r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-TECHNICAL_PARTS = rf"(?i)\.[./:?&=_ \\-]*(?:{_SUFFIX})(?=[./:?&=_ \\#-]|$)|[./:?&=_ \\#-]|[^./:?&=_ \\#-]+"
+EMAIL = U + _first("A-Za-z0-9_", r".%+\-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+TECHNICAL_PARTS = rf"(?i)(?<!\.[./:?&=_ \\-]{{0,60}})\.[./:?&=_ \\-]*(?:{_SUFFIX})(?=[./:?&=_ \\#-]|$)|[./:?&=_ \\#-]|[^./:?&=_ \\#-]+"
 USER_PARTS = r"[._+-]|[^._+-]+"
-HOST_PARTS = rf"(?i)\.[._+-]*(?:{_SUFFIX})(?=[._+-]|$)|[._+-]|[^._+-]+"
-TAGS = r"(?iUd)<en>.*?</en>"
-INNER_TAGS = rf"(?iUd){R.EN}.*?{R.END}|<en>.*?</en>"
+HOST_PARTS = rf"(?i)(?<!\.[._+-]{{0,60}})\.[._+-]*(?:{_SUFFIX})(?=[._+-]|$)|[._+-]|[^._+-]+"
+_SPAN = r"<en>(?:[^<\n]++|<(?!/en>))*+"
+TAGS = rf"(?iUd){_SPAN}(?:</en>)?+"  # one that isn't closed goes to the end of the line
+CLOSED = r"(?is)</en>$"
+INNER_TAGS = rf"(?iUd){R.EN}.*?{R.END}|{_SPAN}</en>"
+# Letters of an old script (small, and with no other case) that stand for what is kept out of the text, and one for themselves.
+JOINTS = ENGLISH, MAIL, NAME, TAG = "\u2c30\u2c31\u2c32\u2c33"
+SPARE = "\u2c34"
 
 # Powers, differences and telephone numbers.
 EXPLICIT_POWER = I + rf"\b{_ONE_POINT}\s*[x*×]\s*10\^([-+]?[0-9]+)\b"
@@ -71,23 +117,23 @@ HOUR_AT = I + r"\blúc\s*([0-9]+)g\b"
 # Ranges, arrows, units, currencies and percentages.
 NUMBER_RANGE = U + rf"(?<![0-9.,]){_BOUNDED}(\s*){_DASH}(\s*){_BOUNDED}(?![0-9.,])"
 SPACED_DASH = U + rf"(?<=\s){_DASH}(?=\s)"
-ARROW = U + r"\s*(?:->|=>)\s*"
+ARROW = U + r"(?:(?<!\s)\s++|)(?:->|=>)\s*+"
 SCIENTIFIC = I + rf"\b{_ONE_POINT}e([+-]?[0-9]+)\b"
-COMPOUND_UNIT = I + rf"\b{_NUMBER}?\s*([a-zμµ²³°]+)/([a-zμµ²³°0-9]+)\b"
+COMPOUND_UNIT = I + rf"\b(?:{_CHAIN}{_NUMBER})?\s*([a-zμµ²³°]+)/([a-zμµ²³°0-9]+)\b"
 MEASURED = I + rf"(?<![0-9.,]){_NUMBER}{_MAGNITUDE}\s*({_UNITS})\b"
 BARE_UNIT = I + rf"(?<![0-9.,])\b({'|'.join(R.BARE_UNITS)})\b"
 PREFIX_CURRENCY = I + rf"([$€¥£₩])\s*{_NUMBER}{_MAGNITUDE}"
-SUFFIX_CURRENCY = I + rf"{_NUMBER}{_MAGNITUDE}([$€¥£₩])"
-PERCENT = I + rf"{_NUMBER}\s*%"
+SUFFIX_CURRENCY = I + rf"{_NEW_NUMBER}{_NUMBER}{_MAGNITUDE}([$€¥£₩])"
+PERCENT = I + rf"{_NEW_NUMBER}{_NUMBER}\s*%"
 
 # Ways to write a number.
 ENGLISH_NUMBER = U + r"\b[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\b"
-MANY_COMMAS = U + r"\b([0-9]+(?:,[0-9]+){2,})\b"
+MANY_COMMAS = U + r"\b([0-9]++(?:,[0-9]++\b){2,}+)"
 COMMA_NUMBER = U + r"(?<![0-9.])([0-9]+(?:\.[0-9]{3})*),([0-9]+)(%)?"
 DOTTED_THOUSANDS = U + r"(?<![0-9.])[0-9]+(?:\.[0-9]{3})+(?![0-9.])"
 SLASHES = U + r"\b([0-9]+)/([0-9]+)\b"
 DIGITS_LETTER = U + r"\b([0-9]+)([a-zA-Z])\b"
-VERSION = U + r"(?<![-–—])\b([0-9]+(?:\.[0-9]+){2,})\b"
+VERSION = U + r"(?<![-–—])\b([0-9]++(?:\.[0-9]++\b){2,}+)"
 COLON_NUMBERS = U + r"\b([0-9]+):([0-9]+)\b"
 ORDINAL = I + r"(thứ|hạng)(\s+)([0-9]+)\b"
 PRODUCT = U + r"([0-9]{1,15})(?:x|\sx\s)([0-9]{1,15})"
@@ -102,19 +148,22 @@ LETTER_NAME = I + r"(chữ|chữ cái|kí tự|ký tự)\s+['\"]?([a-z])['\"]?\b
 PRIME = U + r"(\b[a-zA-Z0-9])['’](?!\w)"
 UNIT_POWER = U + r"\b([a-zA-Z]+)\^([-+]?[0-9]+)\b"
 DOUBLE_QUOTE = '["“”]'
-QUOTE = U + r"(^|\s)['’]+|['’]+($|\s)"
-BRACKETS = U + r"(?d)[(\[{]\s*(.*?)\s*[)\]}]"
+SYMBOL = literals(k for k, _ in R.SYMBOLS)
+QUOTE = U + r"(^|\s)['’]++|(?<!['’])['’]++($|\s)"
+# What brackets hold, in one line, and the bracket that closes it. An open bracket without one is taken with the rest of
+# its line, up to an open bracket at the line's end.
+BRACKETS = U + r"(?d)[(\[{](?:\s*+((?:[^)\]}\s]++(?:[\s&&[^\n]]++(?=[^)\]}\s]))?+)*+)\s*+([)\]}])|(?:[^)\]}\n(\[{]|[(\[{](?![\s&&[^\n]]*+\n))*+)"
 BRACKET = r"[\[\](){}]"
-DEGREES = [(rf"{I}{sign}([0-9]+(?:[.,][0-9]+)?)\s*°\s*{letter}\b", f"{said}$1 độ {scale}") for sign, said in (("-", "âm "), ("", "")) for letter, scale in (("c", "xê"), ("f", "ép"))]
-SENTENCE_END = U + r"[.!?]+(?:\s+|$)"
+DEGREES = [(rf"{I}{sign or '(?<![0-9])'}([0-9]+(?:[.,][0-9]+)?)\s*°\s*{letter}\b", f"{said}$1 độ {scale}") for sign, said in (("-", "âm "), ("", "")) for letter, scale in (("c", "xê"), ("f", "ép"))]
+SENTENCE_END = U + r"(?<![.!?])[.!?]++(?:\s++|$)"
 ACRONYM = U + r"\b(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,}\b"
-UNKNOWN = U + rf"[^a-zA-Z0-9\s{R.VIETNAMESE}{R.VIETNAMESE.upper()}.,!?_'’-]"
+UNKNOWN = U + rf"[^a-zA-Z0-9\s{R.VIETNAMESE}{R.VIETNAMESE.upper()}{JOINTS}.,!?_'’-]"
 SINGLE_LETTER = U + r"(?<!['’])\b([a-zA-Z])\b(\.?)"
 
 # Blanks and commas.
 BLANKS = "[ \\t\\xA0]+"
-OUTER_BLANKS = U + r"^\s+|\s+$"
+OUTER_BLANKS = U + r"^\s++|(?<!\s)\s++$"
 DOUBLE_COMMA = U + r",\s*,"
 COMMA_BEFORE_STOP = U + r",\s*([.!?;])"
-BLANK_BEFORE_MARK = U + r"\s+([,.!?;:])"
+BLANK_BEFORE_MARK = U + r"(?<!\s)\s++([,.!?;:])"
 MARK_BEFORE_TEXT = U + r"([.,!?;:])(?=[^\s0-9<])"
