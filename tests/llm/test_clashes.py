@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as C
 import pytest
 
-from loquat.llm import ann, decontaminate, jaccard_join, licenses, line_dedup, packing, quality, substring_dedup, url_filter, warc
+from loquat.llm import alignment, ann, decontaminate, fill_in_middle, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
 from loquat.llm.common import Stage
 
 NAMES = """_row _doc _text _kept _score _digest _gone _gone_digest _url _block _words a b at block bytes cls code component component_id count ctx
@@ -63,6 +63,9 @@ OPERATORS = {
     "jaccard_join": (lambda s: jaccard_join.link_documents(documents(s)), 35),
     "warc": (warc_records, 12),
     "decontaminate": (lambda s: decontaminate.find_leaks(documents(s), benchmark(s)), 0),
+    "fill_in_middle": (lambda s: fill_in_middle.fill_in_middle(documents(s)), 35),
+    "secrets": (lambda s: secrets.scan_secrets(documents(s)), 35),
+    "alignment": (lambda s: alignment.align_tokenizers(documents(s))[0], 35),
 }
 
 
