@@ -1,4 +1,4 @@
-"""Pronunciation lexicons: the table, a seed, and a source for string-pooled lexicon files.
+"""Pronunciation lexicons: the table, a seed, and files of them.
 
 A lexicon has one row a word: ``word`` (lower case), ``kind`` ("merged": one pronunciation, ``phone``, English if
 ``is_en``; "common": a word of both languages with ``vi_phone`` and ``en_phone``).
@@ -8,17 +8,15 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections import defaultdict
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "word string, kind string, phone string, is_en boolean, vi_phone string, en_phone string"
+from .pooled import SCHEMA, read_pooled, write_sorted
+
 FIXTURES = Path(__file__).resolve().parent.parent / "fixtures"
 _TOKEN = re.compile(r"(?i)<en>.*?</en>|\w+(?:['’]\w+)*|[^\w\s]")
 _INNER = re.compile(r"\w+(?:['’]\w+)*|[^\w\s]")
@@ -82,100 +80,13 @@ def overlay(*lexicons: DataFrame) -> DataFrame:
     return both.withColumn("_first", F.row_number().over(order)).filter("_first = 1").drop("_rank", "_first")
 
 
-# ---- string-pooled files --------------------------------------------------
-
-# The layout of the file. Numbers are little-endian and unsigned, 32 bits.
-MAGIC = b"SEAP"
-HEADER = struct.Struct("<4s4x6I")  # strings, merged and common records; positions of offsets, merged and common
-BASE = HEADER.size  # strings stand here, each ended by a zero byte
-SPAN = 50_000  # records read by one task
-
-
-def write_pooled(path: str, rows: list[tuple]) -> None:
-    """A small lexicon as a string-pooled file (records sorted by the bytes of the word)."""
-    pool, ids = bytearray(), {}
-    offsets = []
-
-    def intern(text: str) -> int:
-        if text not in ids:
-            ids[text] = len(offsets)
-            offsets.append(len(pool))
-            pool.extend(text.encode() + b"\0")
-        return ids[text]
-
-    ordered = sorted(rows, key=lambda r: r[0].encode())
-    one = [(intern(r[0]), intern(("<en>" if r[3] else "") + r[2])) for r in ordered if r[1] == "merged"]
-    two = [(intern(r[0]), intern(r[4]), intern(r[5])) for r in ordered if r[1] == "common"]
-    at = BASE + len(pool)
-    places = (at, at + 4 * len(offsets), at + 4 * len(offsets) + 8 * len(one))
-    with open(path, "wb") as out:
-        out.write(HEADER.pack(MAGIC, len(offsets), len(one), len(two), *places) + pool)
-        out.write(struct.pack(f"<{len(offsets)}I", *offsets) + b"".join(struct.pack("<2I", *r) for r in one) + b"".join(struct.pack("<3I", *r) for r in two))
-
-
-class _Span(InputPartition):
-    def __init__(self, kind: str, first: int, last: int):
-        self.kind, self.first, self.last = kind, first, last
-
-
-class PooledReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-        with open(path, "rb") as file:
-            head = file.read(BASE)
-        if len(head) < BASE or head[:4] != MAGIC:
-            raise ValueError(f"{path} is not a lexicon file")
-        _, self.strings, self.merged, self.common, self.offsets_at, self.merged_at, self.common_at = HEADER.unpack(head)
-
-    def partitions(self) -> list[InputPartition]:
-        counts = (("merged", self.merged), ("common", self.common))
-        return [_Span(kind, k, min(k + SPAN, n)) for kind, n in counts for k in range(0, n, SPAN)]
-
-    def read(self, span: _Span) -> Iterator[tuple]:
-        with open(self.path, "rb") as file:
-            data = file.read()
-
-        def text(k: int) -> str:
-            """Strings out of range, or not UTF-8, are empty."""
-            if k >= self.strings:
-                return ""
-            begin = BASE + struct.unpack_from("<I", data, self.offsets_at + 4 * k)[0]
-            end = data.find(b"\0", begin)
-            try:
-                return data[begin : end if end >= 0 else len(data)].decode()
-            except UnicodeDecodeError:
-                return ""
-
-        for k in range(span.first, span.last):
-            if span.kind == "merged":
-                word, phone = (text(i) for i in struct.unpack_from("<2I", data, self.merged_at + 8 * k))
-                yield merged(word, phone.replace("<en>", "").strip(), "<en>" in phone)
-            else:
-                word, vi, en = (text(i) for i in struct.unpack_from("<3I", data, self.common_at + 12 * k))
-                yield common(word, vi.strip(), en.replace("<en>", "").strip())
-
-
-class PooledLexicon(DataSource):
-    """``spark.read.format("pooled_lexicon").load(path)``; the path must be readable by driver and executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pooled_lexicon"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return PooledReader(self.options["path"])
-
-
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """A lexicon from Parquet, or from a string-pooled file; missing files and other files raise."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path).select("word", "kind", "phone", "is_en", "vi_phone", "en_phone")
-    local = path.removeprefix("file://")
-    if not Path(local).is_file():
-        raise FileNotFoundError(local)
-    PooledReader(local)
-    spark.dataSource.register(PooledLexicon)
-    return spark.read.format("pooled_lexicon").load(local)
+    return read_pooled(spark, path)
+
+
+def save_lexicon(lexicon: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A lexicon as a string-pooled file (repeated words as in ``overlay``); a file that is there raises if it isn't to be replaced."""
+    write_sorted(overlay(lexicon), path, overwrite)

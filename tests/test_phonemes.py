@@ -8,6 +8,7 @@ from loquat.operators import g2p as G
 from loquat.operators.g2p import phonemize, tokens
 from loquat.plans import cases
 from loquat.sources import lexicon as L
+from loquat.sources import pooled as P
 
 
 def test_tokens(spark):
@@ -34,7 +35,7 @@ def test_overlay_prefers_the_first_lexicon(spark):
 def test_pooled_file_round_trip(spark, tmp_path):
     path = str(tmp_path / "words.bin")
     rows = [*cases.SMALL_LEXICON, L.merged("đẹp", "ɗˈɛ6p"), L.common("x", "", "eks")]
-    L.write_pooled(path, rows)
+    L.save_lexicon(spark.createDataFrame(rows, L.SCHEMA), path)
     assert sorted(map(str, map(tuple, L.load_lexicon(spark, path).collect()))) == sorted(map(str, rows))
     spark.createDataFrame(rows, L.SCHEMA).write.parquet(f"{path}.parquet")
     assert L.load_lexicon(spark, f"{path}.parquet").count() == len(rows)
@@ -69,9 +70,9 @@ def test_nothing_is_shuffled(spark):
 def test_pooled_file_with_strings_out_of_range_or_not_utf8(spark, tmp_path):
     path = tmp_path / "odd.bin"
     pool = b"abc\0\xff\xfe\0"
-    at = L.BASE + len(pool)
+    at = P.BASE + len(pool)
     records = [(0, 9), (1, 0), (0, 0)]  # a phoneme out of range, a word that isn't UTF-8, a sound one
-    path.write_bytes(L.HEADER.pack(L.MAGIC, 2, 3, 0, at, at + 8, at + 8 + 24) + pool + struct.pack("<2I", 0, 4) + b"".join(struct.pack("<2I", *r) for r in records))
+    path.write_bytes(P.HEADER.pack(P.MAGIC, 2, 3, 0, at, at + 8, at + 8 + 24) + pool + struct.pack("<2I", 0, 4) + b"".join(struct.pack("<2I", *r) for r in records))
     got = [(r.word, r.phone) for r in L.load_lexicon(spark, str(path)).collect()]
     assert sorted(got) == [("", "abc"), ("abc", ""), ("abc", "abc")]
     path.write_bytes(b"SEA")
