@@ -4,9 +4,10 @@ The plan: tokens are made in the row by Column expressions; one pass in Arrow ba
 which every worker holds, segments unknown ones (each once a worker), decides the language of words that both languages
 have and puts the text together. Nothing is shuffled, and each input row gives one row, so it runs on streams too.
 
-A lexicon is only sent to the workers if it is counted to be small (``HELD_WORDS`` words, ``HELD_BYTES`` bytes). A larger
-one is joined: distinct texts are exploded to tokens, windows over a text's tokens choose the languages, and one aggregate
-puts the texts together. Both ways give the same.
+Workers hold a lexicon if it is counted to be small (``HELD_WORDS`` words, ``HELD_BYTES`` bytes). Of a larger one they hold
+what the texts can meet, their distinct words and pieces of unknown ones, so that no token is exchanged either; the texts
+are tokenised once more for that. Only if that is too much as well are distinct texts exploded to tokens and joined. All
+three ways choose the languages of shared words by one function, and give the same.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ INNER = rf"(?Ud){WORD}|[^\w\s]"
 STOPS = ".!?;:()[]{}"
 _UNACCENTED = "aeiou"
 _VOWELS = _UNACCENTED + VIETNAMESE.replace("đ", "")
-#: A lexicon of at most this many words and bytes is held by every worker; a larger one is joined by exchange.
+#: A lexicon of at most this many words and bytes is held by every worker.
 HELD_WORDS, HELD_BYTES = 500_000, 64 << 20
 
 
@@ -52,6 +53,12 @@ def _has_vowel_and_consonant(word: Column) -> Column:
     return word.rlike(f"[{_VOWELS}]") & word.rlike(rf"[\p{{L}}&&[^{_VOWELS}]]")
 
 
+def _pieces(word: str, longest: int) -> Column:
+    """array<struct<i, j, piece>>: what stands between two places of a word, at most ``longest`` characters."""
+    size = F.length(word)
+    return F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, F.least(i + F.lit(longest - 1), size)), lambda j: F.struct((i - 1).alias("i"), j.alias("j"), F.substring(word, i, j - i + 1).alias("piece")))))
+
+
 def segment(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, lang, phone) of distinct unknown words: lexicon words that cover it, else character by character.
 
@@ -61,10 +68,8 @@ def segment(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
     longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 0
     letters = {r.word: r for r in lexicon.filter(F.length("word") == 1).collect()}  # single characters
     size = F.length("word")
-    starts = F.sequence(F.lit(1), size)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(i + F.lit(longest - 1), size)), lambda j: F.struct((i - 1).alias("i"), j.alias("j"), F.substring("word", i, j - i + 1).alias("piece")))))
     words = unknown.select("word", "lang")
-    parts = words.select("word", "lang", F.explode(pieces).alias("p")).select("word", "lang", "p.*") if longest else None
+    parts = words.select("word", "lang", F.explode(_pieces("word", longest)).alias("p")).select("word", "lang", "p.*") if longest else None
     if parts is not None:
         parts = parts.filter(_has_vowel_and_consonant(F.col("piece")))
         known = lexicon.withColumnRenamed("word", "piece")
@@ -89,35 +94,6 @@ def segment(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.select("word", "lang", F.coalesce("covered", F.when(F.col("lang") == "en", spell("en")).otherwise(spell("vi"))).alias("phone"))
 
 
-def _languages(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows (key, pos, word, lang) with ``lang`` of shared words decided.
-
-    Between two marks that stop, a run of shared words takes the language of the nearer of the words of one language
-    on either side, the right one of equals, or the only one, else Vietnamese. An earlier run, behind a comma, counts
-    for the next as a word of its language; so a run after the first of its gap either takes the language on the
-    right, or what the run before it has.
-    """
-    is_stop = (F.col("lang") == "punct") & F.col("word").isin(*STOPS)
-    shared = F.col("lang") == "common"
-    anchor = F.col("lang").isin("vi", "en")
-    rows = rows.withColumn("seg", F.sum(is_stop.cast("int")).over(W.partitionBy(*key).orderBy("pos")))
-    ahead = W.partitionBy(*key, "seg").orderBy("pos")
-    back = W.partitionBy(*key, "seg").orderBy(F.desc("pos"))
-    upto = ahead.rowsBetween(W.unboundedPreceding, 0)
-    after = back.rowsBetween(W.unboundedPreceding, 0)
-    at = lambda test, value, window: F.last(F.when(test, F.col(value)), ignorenulls=True).over(window)
-    rows = rows.withColumns({"right": at(anchor, "lang", after), "right_pos": at(anchor, "pos", after), "run_end": at(shared & ~F.coalesce(F.lead("lang").over(ahead) == "common", F.lit(False)), "pos", after)})
-    rows = rows.withColumns({"left": at(anchor, "lang", upto), "left_pos": at(anchor, "pos", upto), "before": F.last(F.when(shared, F.col("pos")), ignorenulls=True).over(ahead.rowsBetween(W.unboundedPreceding, -1)), "starts": shared & ~F.coalesce(F.lag("lang").over(ahead) == "common", F.lit(False))})
-    later = F.coalesce(F.col("before") > F.coalesce("left_pos", F.lit(-1)), F.lit(False))
-    near_left = F.col("pos") - F.when(later, F.col("before")).otherwise(F.col("left_pos"))
-    near_right = F.col("right_pos") - F.col("run_end")
-    go_right = near_right.isNotNull() & (near_left.isNull() | (near_right <= near_left))
-    choice = F.when(go_right, "right").when(~later, F.when(F.col("left").isNotNull(), "left").otherwise("none"))
-    rows = rows.withColumn("choice", F.last(F.when(F.col("starts"), choice), ignorenulls=True).over(upto))
-    decided = F.when(F.col("choice") == "right", F.col("right")).when(F.col("choice") == "left", F.col("left")).otherwise("vi")
-    return rows.withColumn("lang", F.when(shared, decided).otherwise(F.col("lang")))
-
-
 def _joined(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str, out_col: str) -> DataFrame:
     """Phonemes by joins with the lexicon, for each distinct text once."""
     key = ["_a", "_b"]
@@ -132,17 +108,31 @@ def _joined(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str, out_c
     lang = (
         F.when(punct, "punct").when(F.col("tagged"), "en").when(merged, F.when(F.col("is_en"), "en").otherwise("vi")).when(common, "common").when(accent, "vi").otherwise("en")
     )
-    phone = F.when(punct, F.col("word")).when(merged, F.trim("phone")).when(common & F.col("tagged") & (F.col("en_phone") != ""), F.trim("en_phone"))
+    phone = F.when(punct, F.col("word")).when(merged, F.coalesce(F.trim("phone"), F.lit(""))).when(common & F.col("tagged") & (F.col("en_phone") != ""), F.trim("en_phone"))
     rows = rows.select(*key, "pos", "word", "low", lang.alias("lang"), phone.alias("phone"), "vi_phone", "en_phone")
     unknown = (F.col("phone").isNull()) & F.col("lang").isin("vi", "en")
     spelled = segment(rows.filter(unknown).select(F.col("low").alias("word"), "lang").distinct(), lexicon)
     spelled = spelled.select(F.col("word").alias("low"), "lang", F.col("phone").alias("spelled"))
     rows = rows.join(spelled, ["low", "lang"], "left")
-    rows = _languages(rows.withColumn("known", F.coalesce("phone", "spelled")), key)
-    said = F.trim(F.coalesce("known", F.when(F.col("lang") == "en", F.col("en_phone")).otherwise(F.col("vi_phone"))))
-    joined = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", said.alias("said"))))).alias("said"))
-    spoken = F.regexp_replace(F.array_join(F.transform("said", lambda x: x["said"]), " "), " ([.,!?;:])", "$1")
-    return keyed.join(joined.select(*key, spoken.alias("_said")), key).select(F.col("_id").alias(id_col), F.col("_said").alias(out_col))
+    token = F.struct("pos", "lang", ((F.col("lang") == "punct") & F.col("word").isin(*STOPS)).alias("stop"), F.trim(F.coalesce("phone", "spelled")).alias("phone"), F.trim("vi_phone").alias("vi"), F.trim("en_phone").alias("en"))
+    texts = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), token))).alias("found"))
+    joined = texts.select(F.struct(*key).alias("key"), "found").mapInArrow(_told, "key struct<_a: bigint, _b: bigint>, _said string")
+    return keyed.join(joined.select("key.*", "_said"), key).select(F.col("_id").alias(id_col), F.col("_said").alias(out_col))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _cuts(batches):
+        said = [put_together([(t["lang"], t["phone"], t["vi"] or "", t["en"] or "") for t in text], [t["stop"] for t in text]) for text in rows.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(said, pa.string())], names=["key", "_said"])
+
+
+def _met(df: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
+    """The part of a lexicon that texts can meet: their words, and what words without one pronunciation may be made of."""
+    words = df.select(F.explode(tokens(F.col(text_col))).alias("t")).select(F.lower("t.word").alias("word")).distinct()
+    longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 1
+    split = words.join(lexicon.filter("kind = 'merged'").select("word"), "word", "left_anti").select(F.explode(_pieces("word", longest)).alias("p"))
+    pieces = split.select(F.col("p.piece").alias("word")).filter((F.length("word") == 1) | _has_vowel_and_consonant(F.col("word"))).distinct()
+    return lexicon.join(words.unionAll(pieces).distinct(), "word", "left_semi")
 
 
 # ---- the lexicon in the workers -------------------------------------------
@@ -207,15 +197,26 @@ class Speaker:
                     self.kept.clear()
                 self.kept[w] = self.look(w)
             found.append(self.kept[w])
-        langs = [f[0] for f in found]
-        if "common" in langs:
-            langs = shared_languages(langs, [f[0] == "punct" and w in STOPS for f, w in zip(found, words, strict=True)])
-        said = [(en if lang == "en" else vi) if phone is None else phone for lang, (_, phone, vi, en) in zip(langs, found, strict=True)]
-        return _BEFORE_MARK.sub(r"\1", " ".join(said))
+        return put_together(found, [f[0] == "punct" and w in STOPS for f, w in zip(found, words, strict=True)])
+
+
+def put_together(found: list[tuple[str, str | None, str, str]], stops: list[bool]) -> str:
+    """A text of tokens (language, phonemes or None while that is open, Vietnamese and English phonemes)."""
+    langs = [f[0] for f in found]
+    if "common" in langs:
+        langs = shared_languages(langs, stops)
+    said = [(en if lang == "en" else vi) if phone is None else phone for lang, (_, phone, vi, en) in zip(langs, found, strict=True)]
+    return _BEFORE_MARK.sub(r"\1", " ".join(said))
 
 
 def shared_languages(langs: list[str], stops: list[bool]) -> list[str]:
-    """``langs`` with those of shared words ("common") decided, by the rule of ``_languages``."""
+    """``langs`` with those of shared words ("common") decided.
+
+    Between two marks that stop, a run of shared words takes the language of the nearer of the words of one language
+    on either side, the right one of equals, or the only one, else Vietnamese. An earlier run, behind a comma, counts
+    for the next as a word of its language; so a run after the first of its gap either takes the language on the
+    right, or what the run before it has.
+    """
     out, n = list(langs), len(langs)
     right: list[int | None] = [None] * n
     near = None
@@ -256,23 +257,51 @@ TAG = "\x01"
 KEPT_WORDS = 1_000_000
 
 
+#: Tokens that a worker takes out of a batch at a time; a longer text is still taken whole.
+TOKENS_AT_ONCE = 100_000
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, whose second column has lists, a bounded number of list entries at a time."""
+    for rows in batches:
+        ends, begin = rows.column(1).offsets.to_numpy(), 0
+        while begin < rows.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + TOKENS_AT_ONCE, "right")) - 1)
+            yield rows.slice(begin, end - begin)
+            begin = end
+
+
 def _spoken(batches: Iterator[pa.RecordBatch], lexicon, names: list[str]) -> Iterator[pa.RecordBatch]:
     speaker = Speaker(lexicon.value)
-    for rows in batches:
+    for rows in _cuts(batches):
         said = [speaker.say(words) for words in rows.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(said, pa.string())], names=names)
 
 
-def phonemize(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "id", out_col: str = "phonemes") -> DataFrame:
-    """(id, phonemes) of each row; null and empty texts give ''."""
-    lexicon = overlay(lexicon)
-    columns = ["word", "kind", "phone", "vi_phone", "en_phone", "is_en"]
-    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns[:5]), F.lit(24))).alias("bytes")
+_COLUMNS = ["word", "kind", "phone", "vi_phone", "en_phone", "is_en"]
+
+
+def held(lexicon: DataFrame) -> bool:
+    """Whether workers can hold the lexicon."""
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _COLUMNS[:5]), F.lit(24))).alias("bytes")
     few = lexicon.agg(F.count("*").alias("words"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
-    if few.words > HELD_WORDS or few.bytes > HELD_BYTES:
-        return _joined(df, lexicon, text_col, id_col, out_col)
-    held = df.sparkSession.sparkContext.broadcast([r.asDict() for r in lexicon.select(columns).collect()])
+    return few.words <= HELD_WORDS and few.bytes <= HELD_BYTES
+
+
+def phonemize(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "id", out_col: str = "phonemes") -> DataFrame:
+    """(id, phonemes) of each row; null and empty texts give ''. Streams need a lexicon that workers can hold."""
+    lexicon = met = overlay(lexicon)
+    if not held(lexicon):
+        if df.isStreaming:
+            raise ValueError("a stream needs a lexicon that workers can hold; see phoneme_stream")
+        met = _met(df, lexicon, text_col).persist()
+        if not held(met):
+            met.unpersist()
+            return _joined(df, lexicon, text_col, id_col, out_col)
+    known = df.sparkSession.sparkContext.broadcast([r.asDict() for r in met.select(_COLUMNS).collect()])
+    if met is not lexicon:
+        met.unpersist()
     marked = F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.when(t["tagged"], F.concat(F.lit(TAG), t["word"])).otherwise(t["word"]))
     rows = df.select(F.col(id_col).alias(id_col), marked.alias("_words"))
     schema = T.StructType([rows.schema[id_col], T.StructField(out_col, T.StringType())])
-    return rows.mapInArrow(lambda it: _spoken(it, held, [id_col, out_col]), schema)
+    return rows.mapInArrow(lambda it: _spoken(it, known, [id_col, out_col]), schema)

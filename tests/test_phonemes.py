@@ -57,6 +57,8 @@ def test_a_joined_lexicon_gives_the_same(spark, monkeypatch):
         held = sorted(map(tuple, phonemize(df, lexicon).collect()))
         monkeypatch.setattr(G, "HELD_WORDS", 0)
         assert sorted(map(tuple, phonemize(df, lexicon).collect())) == held
+        monkeypatch.setattr(G, "TOKENS_AT_ONCE", 3)
+        assert sorted(map(tuple, phonemize(df, lexicon).collect())) == held
         monkeypatch.undo()
     assert len(held) == len(texts) + 1
 
@@ -78,3 +80,15 @@ def test_pooled_file_with_strings_out_of_range_or_not_utf8(spark, tmp_path):
     path.write_bytes(b"SEA")
     with pytest.raises(ValueError):
         L.load_lexicon(spark, str(path))
+
+
+def test_of_a_large_lexicon_workers_hold_what_texts_meet(spark, monkeypatch):
+    """Words, pieces of unknown and of shared words, single letters: the same as with all of it, and nothing is exchanged."""
+    texts = ["túi to on", "marketto to", "<en>to túi</en> abz", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    many = spark.createDataFrame([*cases.SMALL_LEXICON, L.merged("z", "zed", True), *(L.merged(f"word{k}", "w") for k in range(500))], L.SCHEMA)
+    want = sorted(map(tuple, phonemize(df, many).collect()))
+    monkeypatch.setattr(G, "HELD_WORDS", 50)
+    got = phonemize(df, many)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and "Exchange" not in plan and "Join" not in plan
