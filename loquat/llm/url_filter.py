@@ -27,8 +27,8 @@ from .common import Stage, bounded, table
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 WORDS = 8  # of 64 bits in a block
 BITS_A_KEY = 16
-#: Canonical URLs that are blocked, of the hosts that the tables of this repository's tests are made with.
-LISTED = ["spam-farm.example.org", "spam-farm.example.org/en/728", "casino-bonus.example.com/win", "cheap-pills.example.net/buy?now=1"]
+#: The query lists the canonical URL of each page whose id is divisible by this, so that its list grows with the pages.
+LISTED_EACH = 7
 # Parameters that don't name a page.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,15 +108,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     return out.select("_row.*", "host", "path", "rule", "verdict")
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The query's list, (url): other pages, with or without an id of that kind, may have the same canonical URL."""
+    return pages.filter(F.col("page_id") % LISTED_EACH == 0).select(canonical(F.col("url")).alias("url")).filter("url <> ''")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed=listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules, listed=listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 SQL = f"""
 WITH rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in RULES)}),
-listed(url) AS (VALUES {", ".join(f"('{u}')" for u in LISTED)}),
 parsed AS (
   SELECT page_id, url, strpos(url, '://') AS mark, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest,
          string_split(string_split(rest, '#')[1], '?')[1] AS place, strpos(place, '/') AS slash,
@@ -129,6 +133,8 @@ parsed AS (
          list_sort(list_filter(string_split(array_to_string(asked, '?'), '&'), lambda p: p <> '' AND NOT list_contains({TRACKING}, string_split(p, '=')[1]))) AS named FROM parsed
 ), form AS (
   SELECT *, bare || page || CASE WHEN len(named) > 0 THEN '?' || array_to_string(named, '&') ELSE '' END AS canonical FROM parts
+), listed AS (
+  SELECT DISTINCT canonical AS url FROM form WHERE page_id % {LISTED_EACH} = 0 AND bare <> ''
 ), fits AS (
   SELECT url, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
   FROM (SELECT DISTINCT url, host, path FROM form) f JOIN (SELECT *, string_split(rule, '/')[1] AS h FROM rules) r
