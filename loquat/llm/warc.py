@@ -43,7 +43,9 @@ def write_archive(rows: DataFrame, path: str, stage: Stage, id_col: str, url_col
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": _payload_digest(F.col("payload"))})
     first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     first = stage.write(first.select("digest", "first"), "first")
-    joined = rows.join(bounded(first), "digest", "left")
+    # small payloads, of which any number may be equal, get keys that meet nothing and spread
+    key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("small"), "id", "url"))
+    joined = rows.withColumn("key", key).join(bounded(first.withColumnRenamed("digest", "key")), "key", "left")
     refers = F.when(F.col("first").isNotNull() & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     revisit = refers.isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
