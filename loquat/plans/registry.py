@@ -15,7 +15,7 @@ from loquat.operators.g2p import phonemize, tokens
 from loquat.operators.pipeline import text_to_phonemes
 from loquat.sources import lexicon as L
 
-from . import built, cases, files, sql
+from . import built, cases, files, in_sql, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,7 +191,7 @@ _TABLE_QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    found = {q.__name__: q for q in _TABLE_QUERIES} | built.queries(_table) | files.queries(_table)
+    found = {q.__name__: q for q in _TABLE_QUERIES} | built.queries(_table) | files.queries(_table) | in_sql.queries(_table)
     for name, (rule, inputs) in cases.RULES.items():
         found[f"rule_{name}"] = _rule_query(name, rule, inputs)
     return found
@@ -243,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "segment_golden": f"SELECT * FROM {sql.values([(k, e) for k, (_, e) in enumerate(cases.SEGMENTS)], 'case_id, phonemes')}",
         "pipeline_golden": f"SELECT * FROM {sql.values([(k, p, True) for k, (_, ps) in enumerate(cases.PIPELINE) for p in ps], 'case_id, part, found')}",
     }
-    found |= built.oracle_sql() | files.oracle_sql(_TOKEN, _WORD)
+    found |= built.oracle_sql() | files.oracle_sql(_TOKEN, _WORD) | in_sql.oracle_sql(_TOKEN, _tidy_sql)
     for name, (_, inputs) in cases.RULES.items():
         found[f"rule_{name}"] = f"SELECT * FROM {sql.values([(k, e) for k, (_, e) in enumerate(inputs)], 'case_id, said')}"
     return found
