@@ -22,6 +22,9 @@ BROADCAST_ROWS = 400_000
 #: Bytes of text that a kernel looks at together; one longer document is still handled whole.
 CHUNK_BYTES = 1 << 20
 
+#: So many neighbouring tasks' sums of a block are added up by one task.
+TASKS_ADDED = 256
+
 U64 = np.uint64
 
 
@@ -250,9 +253,16 @@ def _add_blocks(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.Re
 
 
 def add_blocks(df: DataFrame, blocks: int, size: int, dtype: str = "<i8") -> np.ndarray:
-    """The tasks' sums (block, sums) added up by the executors, a batch at a time; ``size`` numbers come to the driver, whatever the input."""
+    """The tasks' sums (block, sums) added up by the executors; ``size`` numbers come to the driver, whatever the input.
+
+    Those of ``TASKS_ADDED`` neighbouring tasks are added first, then what that gives, so that no reducer reads a blob of
+    each task; both times a batch is held at a time.
+    """
+    adding = lambda parts: parts.mapInArrow(lambda it: _add_blocks(it, dtype), "block int, sums binary")
+    parts = df.toDF("block", "sums").withColumn("near", F.floor(F.spark_partition_id() / TASKS_ADDED))
+    parts = adding(parts.repartition("block", "near").select("block", "sums"))
     out = np.zeros((blocks, size // blocks), dtype)
-    for r in df.repartition(blocks, "block").mapInArrow(lambda it: _add_blocks(it, dtype), "block int, sums binary").collect():
+    for r in adding(parts.repartition(blocks, "block")).collect():
         out[r.block] += np.frombuffer(zlib.decompress(r.sums), dtype)
     return out.ravel()
 
