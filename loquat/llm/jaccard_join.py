@@ -12,8 +12,9 @@ shingles of ``size`` words (its whole sequence as one, if it has fewer). Two doc
    those go to the join.
 3. Every class meets one class for each of its prefix shingles: that in which the shingle stands first. Rare
    shingles come first, so it is the one with the fewest changes of its own, the middle of a group of near
-   copies. That is linear in the prefixes, whatever the size of a group. Pairs pass the length filter and the suffix filter (the sketches bound
-   the intersection), and are verified once on the exact sets.
+   copies. That is linear in the prefixes, whatever the size of a group. Pairs pass the length filter, the positional
+   filter (in the form that holds at every shared shingle, not at the first alone) and the suffix filter (the sketches
+   bound the intersection), and are verified once on the exact sets.
 4. Verified links are contracted to components. Prefix shingles that still hold several components are
    joined with themselves across components only, with length, positional and suffix filters, and the
    pairs verified. So no link between components is lost, and no group is expanded into all its pairs. Where
@@ -173,7 +174,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n, pos = (lambda at: F.shiftright(at, 32)), (lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
     prefixes = stage.write(docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(it, size, num, den, rank), "tok long, cls long, at long"), "prefixes")
-    shared = prefixes.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min_by("cls", pos("at")).alias("hub")).filter("lo <> hi").select("tok", "hub")
+    shared = prefixes.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min_by(F.struct("cls", "at"), pos("at")).alias("hub")).filter("lo <> hi").select("tok", F.col("hub.cls").alias("hub"), F.col("hub.at").alias("hub_at"))
     live = stage.write(prefixes.join(shared, "tok"), "live")
     stage.drop("prefixes")
 
@@ -194,10 +195,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
         return stage.write(both.mapInArrow(lambda it: _verified(it, size, num, den), "a long, b long"), f"{name}-links")
 
-    ends = live.filter("cls <> hub").select("cls", F.col("hub").alias("end"))
+    # at any shingle that two sets share: at most those before it in both, itself, and those after it in both
+    own, there = (n("at"), pos("at")), (n("hub_at"), pos("hub_at"))
+    most = F.least(own[1], there[1]) + F.least(own[0] - own[1], there[0] - there[1])
+    ends = live.filter("cls <> hub").filter(most * (num + den) >= (own[0] + there[0]) * num).select("cls", F.col("hub").alias("end"))
     first = verify(ends.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct(), "first")
     labels = connected_components(first, stage, "first-cc")
-    named = live.join(labels, live.cls == labels.v, "left").select("tok", "cls", "at", F.coalesce("component", "cls").alias("c"))
+    named = live.drop("hub", "hub_at").join(labels, live.cls == labels.v, "left").select("tok", "cls", "at", F.coalesce("component", "cls").alias("c"))
     named = stage.write(named, "named")
     stage.drop("live")
     apart = F.lit(True) if links else F.col("c_a") != F.col("c_b")
