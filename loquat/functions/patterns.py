@@ -57,7 +57,8 @@ def literals(keys, fold: bool = False) -> str:
 def _first(word: str, marks: str) -> str:
     """The first word boundary of a run of these characters: the run's begin, or the end or begin of the word it begins with."""
     run = word + marks
-    return rf"(?:\G|(?<![{run}])|(?<=[\w&&[^{run}]][{word}]{{1,60}})|(?<=(?:^|[^\w{run}])[{marks}]{{1,60}}))\b"
+    # what is cheap to see comes first: the looks behind take some thousand steps, and are for boundaries inside a run only
+    return rf"\b(?=[{run}])(?:\G|(?<![{run}])|(?<=[\w&&[^{run}]][{word}]{{1,60}})|(?<=(?:^|[^\w{run}])[{marks}]{{1,60}}))"
 
 
 # A number of a chain like 1.2,3 that begins where the chain does, or behind a name such as a1 in a1.2
@@ -75,7 +76,7 @@ TECHNICAL = I + "|".join(
         rf"\b(?:https?|ftp)://{_WEB}+\b",
         rf"\b(?:www\.){_WEB}+\b",
         _first("A-Za-z0-9", r".\-") + rf"[A-Za-z0-9.\-]+(?:\.com|\.vn|\.net|\.org|\.gov|\.io|\.biz|\.info)(?:/{_WEB}*)?\b",
-        r"(?<!\w)(?:\G|(?<!/[._\-]{0,60})|(?<=\w/[._\-]{0,60}))/[a-zA-Z0-9._\-/]{2,}\b",
+        r"(?=/)(?<!\w)(?:\G|(?<!/[._\-]{0,60})|(?<=\w/[._\-]{0,60}))/[a-zA-Z0-9._\-/]{2,}\b",
         r"\b[a-zA-Z]:\\[a-zA-Z0-9._\\\-]+\b",
         _first("A-Za-z0-9_", r".\-") + rf"[a-zA-Z0-9._\-]+\.{literals(R.FILES, fold=True)}\b",
         # at least two parts more, however they are split between low lines and other marks
@@ -83,7 +84,9 @@ TECHNICAL = I + "|".join(
         r"\b(?:[a-fA-F0-9]{1,4}:){3,7}[a-fA-F0-9]{1,4}\b",
     )
 )
-EMAIL = U + _first("A-Za-z0-9_", r".%+\-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+# Group 1 is what the run has before its first word boundary, which is passed from the run's begin on, without a look
+# behind at each character; group 2 is the address.
+EMAIL = U + r"((?:\G|(?<![A-Za-z0-9._%+\-]))(?>\b|[A-Za-z0-9_]++\b|[.%+\-]++\b))([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b)"
 TECHNICAL_PARTS = rf"(?i)(?<!\.[./:?&=_ \\-]{{0,60}})\.[./:?&=_ \\-]*(?:{_SUFFIX})(?=[./:?&=_ \\#-]|$)|[./:?&=_ \\#-]|[^./:?&=_ \\#-]+"
 USER_PARTS = r"[._+-]|[^._+-]+"
 HOST_PARTS = rf"(?i)(?<!\.[._+-]{{0,60}})\.[._+-]*(?:{_SUFFIX})(?=[._+-]|$)|[._+-]|[^._+-]+"

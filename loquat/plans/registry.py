@@ -84,7 +84,7 @@ def cleanup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(2))
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("emails"), F.size(found).cast("long").alias("n"))
 
 
