@@ -3,10 +3,10 @@
 1. One pass counts, over the passages of all documents, in how many each word occurs (2**20 hashed counters). What a
    document has from an item (three of four words in a row, looked up in a Bloom filter of the benchmark's) isn't
    counted, so an item that many documents leak keeps the weight of its words.
-2. The words of the whole benchmark span the TF-IDF space. A randomised SVD of TF-IDF passages (a sample of about
-   ``SVD_DOCS`` documents chosen by a hash of their id and text, and every benchmark item) is computed by the
-   executors: each round multiplies the passages by the current basis and back, and only words x basis sums come to
-   the driver, bounded by the hashed vocabulary.
+2. The words of the whole benchmark span the TF-IDF space. A randomised SVD of the TF-IDF passages of all documents (equal
+   texts count once) and of every benchmark item is computed by the executors: rounds over the items alone give a
+   basis near theirs, then one pass over everything multiplies all passages by it and back, from which the singular
+   vectors follow (Nystroem's method). Only words x basis sums come to the driver, bounded by the hashed vocabulary.
 3. One more pass projects every passage of every document (32 and 64 words long, every 16 words) into the
    latent space. Items of over ``PASSAGE`` words are cut into pieces of at most that many. An item is a candidate of
    a passage if the cosine to one of its pieces is at least ``COSINE`` and the passage holds at least ``SHARE`` of the
@@ -35,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Stage, add_blocks, batch, byte_classes, chunks, mix, pack_blocks, table, word_hashes
+from .common import U64, Stage, add_blocks, batch, bounded, byte_classes, chunks, mix, pack_blocks, table, word_hashes
 
 WORD_BITS = 20
 BLOCKS = 64
 UNIT, SPANS = 16, (2, 4)  # words; units of a passage
 PASSAGE = 64
 RANK, EXTRA, ROUNDS = 96, 24, 2
-SVD_DOCS = 4_000
-SVD_TASKS = 12  # the sample has one size whatever the input, and so has what its tasks send
+ENTRIES = 1 << 13  # words of passages multiplied at a time
 ITEMS = 20_000  # searched for in one pass
 PASSAGES = 2_048  # compared with the items at a time
 COSINE, SHARE = 0.3, 0.5
@@ -177,46 +176,61 @@ def _padded(sums: np.ndarray) -> np.ndarray:
     return np.append(sums.ravel(), np.zeros(-sums.size % BLOCKS))
 
 
-def _multiplied(batches: Iterator[pa.RecordBatch], shared, back: bool) -> Iterator[pa.RecordBatch]:
-    """Sums over passages a with weights w: of w a (a basis), or of w (a basis)' (a basis)."""
+def _multiplied(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Sums over passages a with weights w of w a (a basis)."""
     vocabulary, basis = shared.value
-    sums = np.zeros((vocabulary.size, basis.shape[1]) if back else (basis.shape[1],) * 2)
+    sums = np.zeros((vocabulary.size, basis.shape[1]))
     for rows in batches:
         weights = rows.column(1).to_numpy()
         for lo, hi, raw, off in chunks(rows.column(0)):
-            for d in range(hi - lo):
-                h, first = _words(raw[off[d] : off[d + 1]], np.array([0, off[d + 1] - off[d]]))
-                start, column, value = _rows(h, first, vocabulary)
-                if not len(start):
-                    continue
-                z = np.add.reduceat(value[:, None] * basis[column], start)
-                if back:
-                    each = np.repeat(z, np.diff(np.append(start, len(column))), axis=0)
-                    np.add.at(sums, column, weights[lo + d] * value[:, None] * each)
-                else:
-                    sums += weights[lo + d] * z.T @ z
-    block, packed = pack_blocks(_padded(sums), BLOCKS, "<f8")
+            h, first = _words(raw, off)
+            start, column, value = _rows(h, first, vocabulary)
+            if not len(start):
+                continue
+            where, _ = vocabulary.known(h)
+            weight = weights[lo + np.searchsorted(first, where, "right") - 1] * value
+            ends = np.append(start, len(column))
+            cuts = ends[np.unique(np.searchsorted(ends, np.append(np.arange(0, len(column), ENTRIES), len(column))))]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # whole passages
+                begin = ends[np.searchsorted(ends, a) : np.searchsorted(ends, b)] - a
+                own = column[a:b]
+                z = np.add.reduceat(value[a:b, None].astype(np.float32) * basis[own], begin)
+                passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, b - a)))
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                words = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                sums[own[words]] += np.add.reduceat(weight[a:b, None][order].astype(np.float32) * z[passage[order]], words)
+    block, packed = pack_blocks(_padded(sums), BLOCKS, "<f4")
     yield pa.RecordBatch.from_arrays([block, packed], names=["block", "sums"])
 
 
-def latent_basis(sample: DataFrame, vocabulary: Vocabulary, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words x rank) of the weighted passages of ``sample`` (text, weight)."""
-    context = sample.sparkSession.sparkContext
+def latent_basis(rows: DataFrame, items: DataFrame, vocabulary: Vocabulary, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (words x rank) of the weighted passages of ``rows`` (text, weight); ``items`` are those of them that weigh most."""
+    context = rows.sparkSession.sparkContext
     width = min(rank + EXTRA, vocabulary.size)
-    basis = np.random.default_rng(11).normal(size=(vocabulary.size, width))
+    size = vocabulary.size * width
+    rng = np.random.default_rng(11)
 
-    def times(back: bool, size: int) -> np.ndarray:
-        shared = context.broadcast((vocabulary, basis))
-        parts = sample.select("text", "weight").mapInArrow(lambda it: _multiplied(it, shared, back), "block int, sums binary")
-        out = add_blocks(parts, BLOCKS, size + -size % BLOCKS, "<f8")[:size].reshape(-1, width)
+    def times(df: DataFrame, basis: np.ndarray) -> np.ndarray:
+        shared = context.broadcast((vocabulary, basis.astype(np.float32)))
+        parts = df.select("text", "weight").mapInArrow(lambda it: _multiplied(it, shared), "block int, sums binary")
+        out = add_blocks(parts, BLOCKS, size + -size % BLOCKS, "<f4")[:size].reshape(-1, width).astype(np.float64)
         shared.unpersist()
         return out
 
-    for _ in range(1 + ROUNDS):
-        basis = np.linalg.qr(times(True, vocabulary.size * width))[0]
-    values, vectors = np.linalg.eigh(times(False, width * width))
+    basis = np.linalg.qr(rng.normal(size=(vocabulary.size, width)))[0]
+    for _ in range(ROUNDS):
+        made = times(items, basis)
+        # few items span less than the basis: the rest of it is left to chance
+        basis = np.linalg.qr(made + 1e-3 * np.abs(made).max() * rng.normal(size=made.shape) / np.sqrt(vocabulary.size))[0]
+    made = times(rows, basis)
+    values, vectors = np.linalg.eigh((basis.T @ made + made.T @ basis) / 2)
+    some = values > 1e-6 * values.max()
+    made = made @ (vectors[:, some] / np.sqrt(values[some]))  # made made' is about the passages' square
+    values, vectors = np.linalg.eigh(made.T @ made)
     top = np.argsort(-values)[: min(rank, width)]
-    return basis @ vectors[:, top]
+    top = top[values[top] > 1e-6 * values.max()]
+    return made @ (vectors[:, top] / np.sqrt(values[top]))
 
 
 def masks_of(item: np.ndarray) -> dict[int, int]:
@@ -363,13 +377,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     grams = spark.sparkContext.broadcast(copied)
     counts = add_blocks(docs.select("text").mapInArrow(lambda it: _frequencies(it, grams), "block int, sums binary"), BLOCKS + 1, cells + cells // BLOCKS)
     vocabulary = Vocabulary(used, counts[:cells], int(counts[cells]))
-    total = max(docs.count(), 1)
-    share = int(min(1.0, SVD_DOCS / total) * (1 << 30))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("text").distinct()  # rows that repeat count once
-    sample = stage.write(picked.repartition(SVD_TASKS), "sample")
-    weight = max(1.0, sample.count() * 8.0 / count)
-    weighed = sample.withColumn("weight", F.lit(1.0)).unionByName(asked.select("text", F.lit(weight).alias("weight")))
-    projection = (latent_basis(weighed, vocabulary) * vocabulary.weight[:, None]).astype(np.float32)
+    # rows that repeat count once: each copy has its share
+    again = stage.write(docs.filter("text is not null").groupBy(F.xxhash64("text").alias("digest")).agg(F.count("*").alias("copies")).filter("copies > 1"), "again")
+    spare = int(again.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    rows = docs.select("text", F.lit(1.0).alias("weight"))
+    if spare:
+        rows = docs.withColumn("digest", F.xxhash64("text")).join(bounded(again), "digest", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    weight = max(1.0, (docs.count() - spare) * 8.0 / count)
+    items = asked.select("text", F.lit(weight).alias("weight"))
+    projection = (latent_basis(rows.unionByName(items), items, vocabulary) * vocabulary.weight[:, None]).astype(np.float32)
     shared = spark.sparkContext.broadcast((vocabulary, projection))
 
     out = None

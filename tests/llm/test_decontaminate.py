@@ -161,3 +161,35 @@ def test_long_text_null_and_other_ids(spark):
     d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id string, text string, item_id int, weight int, block int")
     b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, bucket int")
     assert sorted((r.doc_id or "", r.item_id) for r in D.find_leaks(d, b).collect()) == [("", 3), ("a", 7), ("b", 3), ("b", 3)]
+
+
+def test_basis_is_fitted_on_all_documents(spark, monkeypatch):
+    """The basis holds as much of all passages as the exact singular vectors do; copies of a text count as one."""
+    rng = np.random.default_rng(8)
+    pool = np.array([f"w{k}" for k in range(400)])
+    say = lambda k: " ".join(rng.choice(pool, k, p=np.arange(1, 401) / 80200))
+    texts = [say(int(rng.integers(1, 150))) for _ in range(4_500)] + ["one text of its own w1 w2 w3"] * 1_500
+    items = [say(30) for _ in range(40)]
+    real, seen = D.latent_basis, []
+
+    def spied(rows, of, vocabulary, *rest):
+        seen.extend([rows.count(), rows.groupBy().sum("weight").first()[0], of.first().weight, vocabulary, real(rows, of, vocabulary, *rest)])
+        return seen[-1]
+
+    monkeypatch.setattr(D, "latent_basis", spied)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    D.find_leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    rows, total, weight, vocabulary, basis = seen
+    assert rows == len(texts) + len(items) and abs(total - 4_501 - weight * len(items)) < 1e-3 * total
+    square = np.zeros((vocabulary.size, vocabulary.size))
+    for t, w in [(t, 1.0) for t in texts[:4_501]] + [(t, weight) for t in items]:
+        words = D.words_of(t)
+        for k in range(0, len(words), D.PASSAGE):
+            a = np.zeros(vocabulary.size)
+            np.add.at(a, vocabulary.known(words[k : k + D.PASSAGE])[1], 1)
+            a *= vocabulary.weight
+            each = np.sqrt((vocabulary.weight[vocabulary.known(words[k : k + D.PASSAGE])[1]] ** 2).sum())
+            square += w * np.outer(a, a) / each**2 if each else 0
+    best = np.linalg.eigvalsh(square)[::-1][: basis.shape[1]].sum()
+    assert basis.shape[1] == D.RANK and np.allclose(basis.T @ basis, np.eye(D.RANK), atol=1e-4)
+    assert np.trace(basis.T @ square @ basis) > 0.98 * best
