@@ -32,6 +32,11 @@ def _any(keys) -> str:
     return "|".join(re.sub(r"([.\\^$|?*+()\[\]{}])", r"\\\1", k) for k in keys)
 
 
+def _singles_of(pairs) -> str:
+    """What stands in a class for the first characters of the keys."""
+    return "".join(rf"\x{{{ord(c):X}}}" for c in sorted({k[0] for k, _ in pairs}))
+
+
 def literals(keys, fold: bool = False) -> str:
     """A pattern for any of the keys, the longest that fits first: their trie, so that each character is looked at once.
 
@@ -151,7 +156,7 @@ LETTER_NAME = I + r"(chữ|chữ cái|kí tự|ký tự)\s+['\"]?([a-z])['\"]?\b
 PRIME = U + r"(\b[a-zA-Z0-9])['’](?!\w)"
 UNIT_POWER = U + r"\b([a-zA-Z]+)\^([-+]?[0-9]+)\b"
 DOUBLE_QUOTE = '["“”]'
-SYMBOL = literals(k for k, _ in R.SYMBOLS)
+SYMBOL = f"(?=[{_singles_of(R.SYMBOLS)}]){literals(k for k, _ in R.SYMBOLS)}"
 QUOTE = U + r"(^|\s)['’]++|(?<!['’])['’]++($|\s)"
 # What brackets hold, in one line, and the bracket that closes it. An open bracket without one is taken with the rest of
 # its line, up to an open bracket at the line's end.
@@ -160,7 +165,8 @@ BRACKET = r"[\[\](){}]"
 DEGREES = [(rf"{I}{sign or '(?<![0-9])'}([0-9]+(?:[.,][0-9]+)?)\s*°\s*{letter}\b", f"{said}$1 độ {scale}") for sign, said in (("-", "âm "), ("", "")) for letter, scale in (("c", "xê"), ("f", "ép"))]
 SENTENCE_END = U + r"(?<![.!?])[.!?]++(?:\s++|$)"
 ACRONYM = U + r"\b(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,}\b"
-UNKNOWN = U + rf"[^a-zA-Z0-9\s{R.VIETNAMESE}{R.VIETNAMESE.upper()}{JOINTS}.,!?_'’-]"
+# letters of a word are passed over before the long list is looked through
+UNKNOWN = U + rf"(?![a-zA-Z ])[^a-zA-Z0-9\s{R.VIETNAMESE}{R.VIETNAMESE.upper()}{JOINTS}.,!?_'’-]"
 SINGLE_LETTER = U + r"(?<!['’])\b([a-zA-Z])\b(\.?)"
 
 # Blanks and commas.

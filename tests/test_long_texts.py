@@ -58,3 +58,13 @@ def test_addresses_in_linear_time(spark):
     got = rows.select("n", F.size(F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))).alias("mail"), F.size(F.regexp_extract_all("text", F.lit(P.TECHNICAL), F.lit(0))).alias("name")).collect()
     assert [r.mail for r in got] == [0, 1, 0, 0] and all(r.name for r in got)
     assert time.time() - began < 30
+
+
+def test_names_are_searched_at_word_boundaries_only(spark):
+    """Plain text with one sign of a name: looks behind at each letter took most of the time of the whole chain."""
+    texts = spark.range(8).repartition(8).select(F.concat(F.repeat(F.lit("the quick brown fox jumps over "), 4_000), F.lit("a/b.txt")).alias("text"))
+    began = time.time()
+    from loquat.functions import patterns as P
+
+    assert [r.n for r in texts.select(F.regexp_extract_all("text", F.lit(P.TECHNICAL), F.lit(0)).alias("n")).collect()] == [["b.txt"]] * 8
+    assert time.time() - began < 10
