@@ -26,9 +26,10 @@ from loquat.functions.bind import let, lookup
 from loquat.functions.resources import VIETNAMESE
 from loquat.sources.lexicon import overlay
 
-WORD = r"\w++(?:['’]\w++)*+"
+#: The inner class lets ASCII letters be seen at once.
+WORD = r"[[a-zA-Z0-9_]\w]++(?:['’]\w++)*+"
 TOKEN = rf"(?iUd)<en>(?:[^<\n]++|<(?!/en>))*+</en>|{WORD}|[^\w\s]"
-INNER = rf"(?Ud){WORD}|[^\w\s]"
+INNER = rf"(?Ud)(?! )(?:{WORD}|[^\w\s])"
 STOPS = ".!?;:()[]{}"
 _UNACCENTED = "aeiou"
 _VOWELS = _UNACCENTED + VIETNAMESE.replace("đ", "")
@@ -40,7 +41,7 @@ def tokens(text: Column) -> Column:
     """array<struct<word, tagged>>: words and single marks; those of an English span are tagged."""
     one = lambda token: F.array(F.struct(token.alias("word"), F.lit(False).alias("tagged")))
     inner = lambda tag: F.transform(F.regexp_extract_all(F.regexp_replace(tag, "(?i)</?en>", ""), F.lit(INNER), F.lit(0)), lambda t: F.struct(t.alias("word"), F.lit(True).alias("tagged")))
-    found = F.when(text.rlike("(?i)</en>"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(INNER), F.lit(0)))
+    found = F.when(text.contains("</") & text.rlike("(?i)</en>"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(INNER), F.lit(0)))
     return F.flatten(F.transform(found, lambda t: F.when(t.rlike("(?is)^<en>.*</en>$"), inner(t)).otherwise(one(t))))
 
 

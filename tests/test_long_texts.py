@@ -75,3 +75,21 @@ def test_letters_are_passed_before_the_long_list(spark):
     plain = P.UNKNOWN.replace("(?![a-zA-Z ])", "")
     times = [(seconds(P.UNKNOWN), seconds(plain)) for _ in range(3)]
     assert min(a for a, _ in times) < 0.8 * min(b for _, b in times), times
+
+
+def test_plain_words_are_passed_before_names(spark):
+    """Names in plain text: against the same search without the tests that come first."""
+    from loquat.functions import patterns as P
+
+    text = spark.range(4).repartition(4).select(F.repeat(F.lit("the quick brown fox jumps over "), 20_000).alias("text")).cache()
+    assert text.count() == 4
+    first = P.TECHNICAL.index(r"\b(?-i:(?=[a-zA-Z0-9"), P.TECHNICAL.index(r"(?:\b(?:https?")
+    plain = P.TECHNICAL[: first[0]] + P.TECHNICAL[first[1] :]
+
+    def seconds(pattern):
+        began = time.time()
+        assert not any(r.n for r in text.select(F.col("text").rlike(pattern).alias("n")).collect())
+        return time.time() - began
+
+    times = [(seconds(P.TECHNICAL), seconds(plain)) for _ in range(3)]
+    assert min(a for a, _ in times) < 0.8 * min(b for _, b in times), times
